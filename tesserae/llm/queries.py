@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import decontaminate, jaccard_join, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from .common import table
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.log_likelihood(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
 
@@ -57,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_model": op1_language_model,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
