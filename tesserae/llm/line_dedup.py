@@ -22,6 +22,8 @@ from .common import ascii_lower, written
 
 #: Shorter lines are copies only when equal: a word in eight may differ.
 MIN_WORDS = 8
+#: Places of lines with a possible near copy (24 bytes each) that are sent to every executor; more are shuffled.
+BROADCAST_ROWS = 500_000
 GAP = r"[\x20\x09\x0B-\x0D]+"
 
 
@@ -66,8 +68,11 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     twice = keys.groupBy("key").agg((F.min("h") < F.max("h")).alias("shared")).where("shared").select("key")
     open_ = written(keys.join(twice, "key", "left_semi").select("h").distinct().join(first.select("h", "first"), "h").select("h", "first.*"), "lines-open")
     # their words again, from the documents that hold their first occurrence
-    words = lines(docs, id_col, text_col).join(open_.select("h", "rk", "line_no"), ["rk", "line_no"]).select("h", "w")
-    words = written(words.dropDuplicates(["h"]), "lines-words")
+    where = open_.select("h", "rk", "line_no")
+    where = F.broadcast(where) if open_.count() <= BROADCAST_ROWS else where
+    text = lines(docs, id_col, text_col).select("rk", "line_no", F.concat_ws(" ", "w").alias("line"))
+    text = text.join(where, ["rk", "line_no"]).select("h", "line").dropDuplicates(["h"])
+    words = written(text.select("h", F.split("line", " ").alias("w")), "lines-words")
     total = F.aggregate(F.transform("w", lambda x, i: F.xxhash64(x)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
     held = words.select("h", "w", F.size("w").alias("n"), total.alias("all"))
     # less one word, at its place (a replaced word) or anywhere (a deleted one); the whole line meets lines longer by a word
