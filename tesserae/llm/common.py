@@ -35,7 +35,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
-    plain = F.octet_length(text) == F.char_length(text)
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")
     return F.when(plain, F.lower(text)).otherwise(
         F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )

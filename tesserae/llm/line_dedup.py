@@ -24,29 +24,39 @@ from .common import ascii_lower, written
 MIN_WORDS = 8
 #: Places of lines with a possible near copy (24 bytes each) that are sent to every executor; more are shuffled.
 BROADCAST_ROWS = 500_000
-GAP = r"[\x20\x09\x0B-\x0D]+"
+#: Separators of words within a line, other than the space.
+GAPS = "\t\x0b\x0c\r"
 
 
-def _norm_words(line: Column) -> Column:
-    return F.array_remove(F.split(line, GAP), "")
+def _word_count(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _half_keys(n: Column) -> Column:
     """Hashes of the first and last half, for the line as the longer of two by a word and as the shorter or equal one."""
 
+    def words(count: Column) -> Column:
+        return F.call_function("substring_index", F.col("line"), F.lit(" "), count)
+
     def pair(size: Column) -> list[Column]:
         half = F.floor(size / 2).cast("int")
-        last = (size - half).cast("int")
-        return [F.xxhash64(F.lit("first"), size, F.concat_ws(" ", F.slice("w", F.lit(1), half))), F.xxhash64(F.lit("last"), size, F.concat_ws(" ", F.slice("w", n - last + 1, last)))]
+        return [F.xxhash64(F.lit("first"), size, words(half)), F.xxhash64(F.lit("last"), size, words((half - size).cast("int")))]
 
     return F.array(*pair(n), *pair(n - 1))
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All lines with their place and words; a text of n newlines has n + 1 lines."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\n").alias("ls"))
-    t = t.select("doc_id", "rk", F.posexplode_outer("ls").alias("line_no", "line"))
-    return t.select("doc_id", "rk", "line_no", _norm_words(F.col("line")).alias("w")).where(F.size("w") > 0)
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All lines that have a word, with their place; a text of n newlines has n + 1 lines."""
+    t = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.split(F.col(text_col), "\n").alias("ls"))
+    t = t.select("doc_id", "rk", F.posexplode("ls").alias("line_no", "line"))
+    spaced = F.when(F.col("line").rlike(f"[{GAPS}]"), F.translate("line", GAPS, " " * len(GAPS))).otherwise(F.col("line"))
+    return t.select("doc_id", "rk", "line_no", F.trim(spaced).alias("line")).where("line <> ''")
+
+
+def _normal(line: Column) -> Column:
+    """Lower-cased, with one space between words; no regular expression where nothing is to be done."""
+    single = F.concat_ws(" ", F.array_remove(F.split(line, " "), ""))
+    return ascii_lower(F.when(line.contains("  "), single).otherwise(line))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -55,40 +65,49 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     A line is dropped if an earlier one, by document id (null last), a hash of the document and line
     number, equals it or is within one edit.
     """
-    all_lines = lines(docs, id_col, text_col)
-    n = F.size("w")
+    all_lines = _raw_lines(docs, id_col, text_col).withColumn("line", _normal(F.col("line"))).withColumn("n", _word_count(F.col("line")))
+    n = F.col("n")
     place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("rk").alias("rk"), F.col("line_no").alias("line_no"))
     halves = F.when(n >= min_words, _half_keys(n))
-    row = all_lines.select(F.xxhash64(F.lit("line"), F.concat_ws(" ", "w")).alias("h"), place.alias("place"), halves.alias("halves"))
+    row = all_lines.select(F.xxhash64(F.lit("line"), F.col("line")).alias("h"), place.alias("place"), halves.alias("halves"))
     row = row.select("h", "place", *[F.get("halves", i).alias(f"k{i}") for i in range(4)])
     row = written(row, "lines-keys")
     first = written(row.groupBy("h").agg(F.min("place").alias("first"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)]), "lines-first")
 
-    keys = first.where("k0 is not null").select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    keys = first.where("k0 is not null").select("h", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("k", "key"))
     twice = keys.groupBy("key").agg((F.min("h") < F.max("h")).alias("shared")).where("shared").select("key")
-    open_ = written(keys.join(twice, "key", "left_semi").select("h").distinct().join(first.select("h", "first"), "h").select("h", "first.*"), "lines-open")
+    halves_met = keys.join(twice, "key", "left_semi").groupBy("h").agg(*[F.bool_or(F.col("k") == i).alias(f"s{i}") for i in range(4)])
+    open_ = written(halves_met.join(first.select("h", "first"), "h").select("h", "first.*", "s0", "s1", "s2", "s3"), "lines-open")
     # their words again, from the documents that hold their first occurrence
-    where = open_.select("h", "rk", "line_no")
+    where = open_.drop("null", "doc_id")
     where = F.broadcast(where) if open_.count() <= BROADCAST_ROWS else where
-    text = lines(docs, id_col, text_col).select("rk", "line_no", F.concat_ws(" ", "w").alias("line"))
-    text = text.join(where, ["rk", "line_no"]).select("h", "line").dropDuplicates(["h"])
-    words = written(text.select("h", F.split("line", " ").alias("w")), "lines-words")
+    text = _raw_lines(docs, id_col, text_col).join(where, ["rk", "line_no"])
+    text = text.select("h", "s0", "s1", "s2", "s3", _normal(F.col("line")).alias("line")).dropDuplicates(["h"])
+    words = written(text.withColumn("w", F.split("line", " ")).drop("line"), "lines-words")
     total = F.aggregate(F.transform("w", lambda x, i: F.xxhash64(x)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    held = words.select("h", "w", F.size("w").alias("n"), total.alias("all"))
+    held = words.select("h", "w", F.size("w").alias("n"), total.alias("all"), "s0", "s1", "s2", "s3")
+    # an edit that leaves the first half alone lies in the last one: cuts in a half whose other half met nothing are not emitted
+    cuts = F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    half, short_half = F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) / 2)
+    at = F.filter(cuts, lambda c: F.when(c["i"] >= half, F.col("s0")).otherwise(F.col("s1")))
+    less = F.filter(cuts, lambda c: ((c["i"] >= short_half) & F.col("s2")) | ((c["i"] <= short_half) & F.col("s3")))
+    whole = F.filter(F.array(F.lit(-1)), lambda c: F.col("s0") | F.col("s1"))
     # less one word, at its place (a replaced word) or anywhere (a deleted one); the whole line meets lines longer by a word
+    without = lambda c: F.col("all").bitwiseXOR(F.xxhash64(c["x"]))
     variants = F.concat(
-        F.transform("w", lambda x, i: F.struct(F.xxhash64(F.lit("at"), F.col("n"), i, F.col("all").bitwiseXOR(F.xxhash64(x))).alias("key"), i.alias("cut"), F.lit("at").alias("way"))),
-        F.transform("w", lambda x, i: F.struct(F.xxhash64(F.lit("less"), F.col("n") - 1, F.col("all").bitwiseXOR(F.xxhash64(x))).alias("key"), i.alias("cut"), F.lit("less").alias("way"))),
-        F.array(F.struct(F.xxhash64(F.lit("less"), F.col("n"), F.col("all")).alias("key"), F.lit(-1).alias("cut"), F.lit("less").alias("way"))),
+        F.transform(at, lambda c: F.struct(F.xxhash64(F.lit("at"), F.col("n"), c["i"], without(c)).alias("key"), c["i"].alias("cut"), F.lit("at").alias("way"))),
+        F.transform(less, lambda c: F.struct(F.xxhash64(F.lit("less"), F.col("n") - 1, without(c)).alias("key"), c["i"].alias("cut"), F.lit("less").alias("way"))),
+        F.transform(whole, lambda c: F.struct(F.xxhash64(F.lit("less"), F.col("n"), F.col("all")).alias("key"), c.alias("cut"), F.lit("less").alias("way"))),
     )
     emitted = written(held.select("h", F.explode(variants).alias("v")).select("h", "v.*"), "lines-variants")
-    met = emitted.groupBy("key").agg((F.min("h") < F.max("h")).alias("shared")).where("shared").select("key")
+    # deleted-word variants of two lines of equal length are two edits apart: a whole line must be among them
+    paired = (F.min("way") == "at") | (F.bool_or(F.col("cut") < 0) & F.bool_or(F.col("cut") >= 0))
+    met = emitted.groupBy("key").agg(((F.min("h") < F.max("h")) & paired).alias("shared")).where("shared").select("key")
     met = emitted.join(met, "key", "left_semi")
     left = F.when(F.col("cut") < 0, F.col("w")).otherwise(F.concat(F.slice("w", F.lit(1), F.greatest(F.col("cut"), F.lit(0))), F.slice("w", F.col("cut") + 2, F.size("w"))))
-    spelled = met.join(words, "h").select("h", "way", F.when(F.col("way") == "at", F.col("cut")).otherwise(-1).alias("at"), F.sha2(F.concat_ws(" ", left), 256).alias("left"), (F.col("cut") < 0).alias("whole"))
-    spelled = spelled.join(open_, "h").withColumn("place", place)
+    spelled = met.join(words.select("h", "w"), "h").select("h", "way", F.when(F.col("way") == "at", F.col("cut")).otherwise(-1).alias("at"), F.sha2(F.concat_ws(" ", left), 256).alias("left"), (F.col("cut") < 0).alias("whole"))
+    spelled = written(spelled.join(open_.drop("s0", "s1", "s2", "s3"), "h").withColumn("place", place), "lines-spelled")
     group = ["way", "at", "left"]
-    # deleted-word variants of two lines of equal length are two edits apart; only the whole line pairs with them
     best = spelled.groupBy(*group).agg(F.min("place").alias("any"), F.min(F.when(F.col("whole"), F.col("place"))).alias("shorter"), F.min(F.when(~F.col("whole"), F.col("place"))).alias("longer"))
     judged = spelled.join(best, group)
     earlier = F.when(F.col("way") == "at", F.col("any")).when(F.col("whole"), F.col("longer")).otherwise(F.col("shorter"))
@@ -113,7 +132,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list("line_no")), lambda x: x.cast("string"))).alias("dropped"),
     )
     by_doc = written(by_doc, "lines-dropped")
-    n_lines = (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) - F.char_length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    breaks = F.octet_length(F.col(text_col)) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    n_lines = (F.coalesce(breaks, F.lit(0)) + 1).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), n_lines.alias("n_lines"))
     zero = F.lit(0).cast("long")
     return base.join(by_doc, "rk", "left").select("doc_id", "rk", "n_lines", F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"))
