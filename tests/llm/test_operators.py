@@ -168,7 +168,9 @@ def _within_one(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def test_line_dedup(spark, empty):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_line_dedup(spark, empty, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
     rng = random.Random(2)
     base = [[f"v{rng.randrange(50)}" for _ in range(rng.randint(8, 14))] for _ in range(6)]
     docs = []
