@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from .common import table
