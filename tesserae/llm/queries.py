@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard_join, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLES: dict[str, str] = {}
