@@ -46,3 +46,35 @@ SERVICES = """hire, service, master, driver, electrician, plumber, cook, therapi
 photographer, instructor, job, work, freelance, nurse, doctor""".replace("\n", " ").split(", ")
 BUSINESS = "bulk, commercial, business, company, corporate, industrial, wholesale, contract".split(", ")
 TRANSLITERATED = "vandi, thurai, palayam, nagar, puram, kudi, kottai, malai, oor, pattinam".split(", ")
+STOP_WORDS = """for, in, on, of, to, and, the, a, an, or, is, at, by, from, with, per, if, any, all, i, me, my, we, our, you, your, it, its, am,
+be, no, not, do, does, did, has, have, had, will, can, could, should, would, may, shall, here, there, one, this, that, these,
+those, -, &""".replace("\n", " ").split(", ")
+#: Found anywhere in the text, parts of words too; the first that fits counts.
+PROFESSIONS = {
+    "Acting Driver": ["acting driver", "driver"],
+    "Massage Therapist": ["massage", "therapist", "massager"],
+    "Cook / Parotta Master": ["cook", "parotta", "chef", "caterer", "biriyani"],
+    "Electrician": ["electrician", "electrical"],
+    "Photographer": ["photographer", "photography"],
+    "Trainer / Instructor": ["trainer", "instructor", "training"],
+    "Tutor / Teacher": ["tutor", "tuition", "teacher"],
+    "Nurse / Medical": ["nurse", "doctor", "medical", "psychiatrist"],
+    "Carpenter / Painter": ["carpenter", "painter", "mason"],
+    "Plumber": ["plumber"],
+    "Helper / Companion": ["helper", "companion"],
+    "Writer / Editor": ["writer", "editor", "data entry", "typing"],
+    "Cleaner / Climber": ["cleaner", "climber"],
+    "Delivery / Logistics": ["delivery", "loading", "unloading"],
+}
+VEHICLES = """car, bike, truck, van, bus, auto, scooter, tata, maruti, mahindra, eicher, bajaj, honda, yamaha, royal enfield, hyundai,
+tvs, piaggio, vehicle, two wheeler, three wheeler, four wheeler, lcv""".replace("\n", " ").split(", ")
+VEHICLE_KINDS = {
+    "Cars": ["car", "alto", "swift", "ertiga", "innova", "civic", "xcent", "baleno", "eeco", "omni", "qualis"],
+    "Bikes": ["bike", "two wheeler", "rx", "r15", "hunter", "unicorn", "hf deluxe", "tnt", "splendor"],
+    "Trucks / LCV": ["truck", "lcv", "container", "open body", "eicher"],
+    "Autos / 3-Wheeler": ["auto", "ape", "three wheeler", "qute"],
+    "Vans / Buses": ["van", "bus", "winger", "seater"],
+    "Scooters": ["scooter", "dio", "scooty", "pep"],
+    "Mini Trucks / Pickup": ["tata ace", "ace", "dost", "intra", "bolero", "pickup"],
+}
+FOOD = "cook, chef, parotta, biriyani, caterer, food, kitchen, restaurant, hotel, bar, stove, cooking, veg".split(", ")

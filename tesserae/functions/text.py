@@ -135,3 +135,22 @@ def redacted(message: Column, longest: int = 2000) -> Column:
 def like_escaped(term: str) -> str:
     """A literal term for a LIKE pattern with backslash as escape."""
     return re.sub(r"([\\%_])", r"\\\1", term)
+
+
+def contains_any(q: Column, parts: Iterable[str]) -> Column:
+    """Whether any of the strings stands anywhere in the text, within words too."""
+    return F.lower(_text(q)).rlike("|".join(map(re.escape, parts)))
+
+
+def first_kind(q: Column, kinds: Mapping[str, Iterable[str]], default: str | None = None) -> Column:
+    """The first kind any of whose strings the text contains."""
+    out = F
+    for name, parts in kinds.items():
+        out = out.when(contains_any(q, parts), name)
+    return out.otherwise(F.lit(default))
+
+
+def terms(q: Column) -> Column:
+    """Words of three Latin letters or more that are no stop words, in order."""
+    found = F.regexp_extract_all(F.lower(_text(q)), F.lit("([a-z]+)"), 1)
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(lexicon.STOP_WORDS))

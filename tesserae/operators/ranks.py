@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def picked(rows: DataFrame, keys: list[str], value: str, place: Column, name: str) -> DataFrame:
-    """Per group, the value at a place in ascending order (from 1), which ``place`` computes from the count ``n``."""
+    """Per group, the value at a place in ascending order (from 1), which ``place`` computes from the count ``n``.
+
+    Equal values are counted before they move; the walk is over a group's distinct values.
+    """
     w = Window.partitionBy(*keys)
-    some = rows.where(F.col(value).isNotNull())
-    some = some.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    return some.where(F.col("_r") == place).select(*keys, F.col(value).alias(name))
+    some = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    some = some.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("n", F.sum("_c").over(w))
+    return some.where((place <= F.col("_upto")) & (place > F.col("_upto") - F.col("_c"))).select(*keys, F.col(value).alias(name))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:

@@ -117,6 +117,83 @@ def q11_search_quality(spark, sf_dir):
     return _spoken(spark, sf_dir).agg(*[F.count_if(v).alias(k) for k, v in facts.items()], F.count("*").alias("total"))
 
 
+def _has(parts) -> str:
+    return "(" + " or ".join(f"contains(lower(query_text), '{p}')" for p in parts) + ")"
+
+
+def _kind(kinds: dict, default: str = "null") -> str:
+    return "case " + " ".join(f"when {_has(p)} then '{k}'" for k, p in kinds.items()) + f" else {default} end"
+
+
+_GROUPS = {"Services": ["Coloured"], "Accommodation": ["Large"]}
+
+
+@_query(f"select case when list_contains(c, 'Coloured') then 'Services' when list_contains(c, 'Large') then 'Accommodation' when c = ['{DEFAULT}'] then 'Other' else 'Products' end as label, count(*) as n from (select {_CATS} as c from {_SPOKEN_SQL} s) x group by 1")
+def q2_product_vs_service(spark, sf_dir):
+    """The first of service and accommodation categories that a search has, else any real category."""
+    c = text.labels(F.col("q"), CATEGORIES, DEFAULT)
+    kind = F
+    for name, members in _GROUPS.items():
+        kind = kind.when(F.arrays_overlap(c, F.array(*map(F.lit, members))), name)
+    return _counted(_spoken(spark, sf_dir), kind.when(F.array_contains(c, DEFAULT), "Other").otherwise("Products"))
+
+
+@_query(f"select label, count(*) as n from (select unnest(regexp_extract_all(lower(query_text), '[a-z]+')) as label from {_SPOKEN_SQL} s) x where length(label) > 2 and label not in ({', '.join(repr(w) for w in lexicon.STOP_WORDS)}) group by label order by n desc, label limit 30")
+def q3_trending_terms(spark, sf_dir):
+    return _counted(_spoken(spark, sf_dir).select(F.explode(text.terms(F.col("q"))).alias("w")), F.col("w"), 30)
+
+
+@_query(f"select request_id from {_SPOKEN_SQL} s where contains(' ' || nq || ' ', ' to ') and {_said(lexicon.LOCATIONS)}")
+def q8_route_searches(spark, sf_dir):
+    return _spoken(spark, sf_dir).where(text.is_route(F.col("q"))).select("request_id")
+
+
+@_query(f"select * from ({_counted_sql(_kind(lexicon.PROFESSIONS))}) y where label is not null order by n desc, label limit 15")
+def q9_professions(spark, sf_dir):
+    kinds = _spoken(spark, sf_dir).select(text.first_kind(F.col("q"), lexicon.PROFESSIONS).alias("k")).where("k is not null")
+    return _counted(kinds, F.col("k"), 15)
+
+
+@_query(f"select request_id, query_text from {_SPOKEN_SQL} s where {_CATS} = ['{DEFAULT}'] order by created_at, request_id limit 30")
+def q16_new_subcategories(spark, sf_dir):
+    out = _spoken(spark, sf_dir).where(F.array_contains(text.labels(F.col("q"), CATEGORIES, DEFAULT), DEFAULT))
+    return out.orderBy("created_at", "request_id").limit(30).select("request_id", F.col("q").alias("query_text"))
+
+
+@_query(_counted_sql(_kind(lexicon.VEHICLE_KINDS, "'Other Vehicle'"), where=_has(lexicon.VEHICLES)))
+def q18_vehicle_searches(spark, sf_dir):
+    found = _spoken(spark, sf_dir).where(text.contains_any(F.col("q"), lexicon.VEHICLES))
+    return _counted(found, text.first_kind(F.col("q"), lexicon.VEHICLE_KINDS, "Other Vehicle"))
+
+
+@_query(f"select request_id from {_SPOKEN_SQL} s where {_has(lexicon.FOOD)}")
+def q19_food_searches(spark, sf_dir):
+    return _spoken(spark, sf_dir).where(text.contains_any(F.col("q"), lexicon.FOOD)).select("request_id")
+
+
+@_query(f"select request_id from {_SPOKEN_SQL} s where {_said(lexicon.BUSINESS)}")
+def q20_b2b_demand(spark, sf_dir):
+    return _spoken(spark, sf_dir).where(text.is_business(F.col("q"))).select("request_id")
+
+
+_EMPTY = f"(select s.* from {_SPOKEN_SQL} s join api_usage a on a.request_id = s.request_id where lower(coalesce(a.status, '')) in ('success', 'successful', 'ok') and a.total_results = 0)"
+
+
+def _empty(spark, sf_dir) -> DataFrame:
+    used = records.latest_usage(_spoken(spark, sf_dir), _canonical(spark, sf_dir, "api_usage"))
+    return used.where(records.succeeded(F.col("status")) & (F.col("total_results") == 0))
+
+
+@_query(f"select label, count(*) as n from (select unnest({_listed(lexicon.BRANDS)}) as label from {_EMPTY} s) x group by label order by n desc, label limit 15")
+def q86_unfulfilled_brands(spark, sf_dir):
+    return _counted(_empty(spark, sf_dir).select(F.explode(text.brands(F.col("q"))).alias("c")), F.col("c"), 15)
+
+
+@_query(f"select label, count(*) as n from (select {_DURATION} as label from {_EMPTY} s) x group by label")
+def q87_unfulfilled_duration(spark, sf_dir):
+    return _counted(_empty(spark, sf_dir), text.duration(F.col("q")))
+
+
 _FULFIL = f"select unnest({_CATS}) as label, coalesce(a.total_results, 0) as results, a.duration_ms from {_SPOKEN_SQL} s join api_usage a on a.request_id = s.request_id where lower(coalesce(a.status, '')) in ('success', 'successful', 'ok')"
 
 
@@ -136,12 +213,10 @@ def p5_price_bounds(spark, sf_dir):
     return _spoken(spark, sf_dir).select("request_id", least.alias("least"), most.alias("most"))
 
 
-@_query("select request_id, 'user:[REDACTED]' as line from search_history")
+@_query("select request_id, 'password: [REDACTED] token=[REDACTED] https://me:[REDACTED]@host' as line from search_history")
 def x24_redacted(spark, sf_dir):
     line = F.concat(F.lit("password: "), F.col("request_id"), F.lit(" token="), F.col("request_id"), F.lit("\nhttps://me:"), F.col("request_id"), F.lit("@host"))
-    seen = text.redacted(line)
-    right = seen == "password: [REDACTED] token=[REDACTED] https://me:[REDACTED]@host"
-    return _canonical(spark, sf_dir, "search_history").select("request_id", F.when(right, "user:[REDACTED]").otherwise(seen).alias("line"))
+    return _canonical(spark, sf_dir, "search_history").select("request_id", text.redacted(line).alias("line"))
 
 
 # search
@@ -363,3 +438,98 @@ def s24_usage_counters(spark, sf_dir):
 @_query("select request_id from search_history where created_at >= timestamp '2024-01-20' - interval 5 day")
 def s4_history_window(spark, sf_dir):
     return readers.within_history(_canonical(spark, sf_dir, "search_history"), F.lit(AS_OF), 5).select("request_id")
+
+
+# attempts, users
+@_query("select round(sum(case when provider in ('p0', 'p1') then total_tokens end) * 0.05 / 1000000, 9) as cost, cast(sum(total_tokens) as bigint) as tokens from attempts")
+def q34_estimated_cost(spark, sf_dir):
+    """Priced providers' tokens at five cents a million."""
+    a = _canonical(spark, sf_dir, "attempts")
+    return a.agg(F.round(F.sum(F.when(F.col("provider").isin("p0", "p1"), F.col("total_tokens"))) * 0.05 / 1_000_000, 9).alias("cost"), F.sum("total_tokens").alias("tokens"))
+
+
+@_query("select count(*) as n, round(100.0 * count(*) / (select count(*) from tapi), 6) as pct from tapi where api_call_count > 3")
+def q41_multi_attempt(spark, sf_dir):
+    t = _canonical(spark, sf_dir, "tapi").agg(F.count_if(F.col("api_call_count") > 3).alias("n"), F.count("*").alias("whole"))
+    return t.select("n", F.round(records.rate(F.col("n"), F.col("whole")), 6).alias("pct"))
+
+
+@_query("select coalesce(failure_reason, '') as reason, count(*) as calls, count(case when status = 'success' then 1 end) as success, count(case when status <> 'success' then 1 end) as failures from attempts where provider = 'p0' group by 1")
+def q44_provider_rate_limit(spark, sf_dir):
+    one = _canonical(spark, sf_dir, "attempts").where("provider = 'p0'")
+    return one.groupBy(F.coalesce("failure_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") != "success").alias("failures"))
+
+
+@_query("select operation, round(avg(duration_ms), 6) as avg_ms, min(duration_ms) as least, max(duration_ms) as most, count(*) as n, any_value(v) as upper_median from attempts join (select operation, duration_ms as v from (select operation, duration_ms, row_number() over (partition by operation order by duration_ms) as r, count(*) over (partition by operation) as n from attempts) x where r = n // 2 + 1) y using (operation) group by operation")
+def q45_operation_latency(spark, sf_dir):
+    a = _canonical(spark, sf_dir, "attempts")
+    stats = a.groupBy("operation").agg(F.round(F.avg("duration_ms"), 6).alias("avg_ms"), F.min("duration_ms").alias("least"), F.max("duration_ms").alias("most"), F.count("*").alias("n"))
+    return stats.join(ranks.upper_median(a, ["operation"], "duration_ms", "upper_median"), "operation")
+
+
+@_query("select round(avg(a.duration_ms), 6) as avg_ms, round(avg(case when u.duration_ms * 2 > 0 then 100.0 * a.duration_ms / (u.duration_ms * 2) end), 6) as pct, count(*) as n from attempts a join api_usage u on u.request_id = a.request_id where a.operation = 'query_planning'")
+def q46_query_planning_bottleneck(spark, sf_dir):
+    """An attempt's share of a request that takes twice as long, as bound here."""
+    a = _canonical(spark, sf_dir, "attempts").where("operation = 'query_planning'").select("request_id", F.col("duration_ms").alias("own"))
+    both = a.join(_canonical(spark, sf_dir, "api_usage").select("request_id", (F.col("duration_ms") * 2).alias("whole")), "request_id")
+    return both.agg(F.round(F.avg("own"), 6).alias("avg_ms"), F.round(F.avg(F.when(F.col("whole") > 0, 100.0 * F.col("own") / F.col("whole"))), 6).alias("pct"), F.count("*").alias("n"))
+
+
+def _days(later, earlier):
+    """Whole days between two times, towards the earlier."""
+    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 86_400_000_000)
+
+
+def _bucket(d, edges: dict[int, str], rest: str):
+    out = F
+    for most, name in edges.items():
+        out = out.when(d <= most, name)
+    return out.otherwise(rest)
+
+
+_RETENTION = {30: "Active", 90: "Recent", 180: "Dormant", 365: "Inactive"}
+_ACTIVATION = {0: "Same day", 7: "1-7 days", 30: "8-30 days", 90: "31-90 days", 365: "91-365 days"}
+
+
+def _bucket_sql(edges: dict[int, str], rest: str) -> str:
+    return "case " + " ".join(f"when d <= {m} then '{n}'" for m, n in edges.items()) + f" else '{rest}' end"
+
+
+@_query(f"select {_bucket_sql(_RETENTION, 'Churned')} as label, count(*) as n from (select floor(epoch(timestamp '1996-06-01' - created_at) / 86400) as d from users) x group by 1")
+def q57_retention(spark, sf_dir):
+    d = _days(F.lit(datetime(1996, 6, 1)), F.col("created_at"))
+    return _counted(_canonical(spark, sf_dir, "users"), _bucket(d, _RETENTION, "Churned"))
+
+
+_FIRST = "select floor(epoch(f.first - u.created_at) / 86400) as d from (select user_id, min(created_at) as first from ads group by user_id) f join users u on u.id = f.user_id"
+
+
+@_query(f"select {_bucket_sql(_ACTIVATION, '365+ days')} as label, count(*) as n, round(avg(d), 6) as avg_days from ({_FIRST}) x where d >= 0 and d < 3650 group by 1")
+def q83_activation(spark, sf_dir):
+    first = _canonical(spark, sf_dir, "ads").groupBy("user_id").agg(F.min("created_at").alias("first"))
+    users = _canonical(spark, sf_dir, "users").select(F.col("id").alias("user_id"), "created_at")
+    d = first.join(users, "user_id").select(_days(F.col("first"), F.col("created_at")).alias("d")).where("d >= 0 and d < 3650")
+    return d.groupBy(_bucket(F.col("d"), _ACTIVATION, "365+ days").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("avg_days"))
+
+
+# dashboards
+@_query(f"select count(*) as requests, count(case when request_kind = 'text_search' then 1 end) as text_searches, count(case when outcome = 'fulfilled' then 1 end) as fulfilled, count(case when outcome = 'zero_result' then 1 end) as zero, count(case when outcome = 'failure' then 1 end) as failures, round(100.0 * count(case when outcome = 'fulfilled' then 1 end) / count(*), 6) as fulfilment from ({_RECORD}) r")
+def d1_company_overview(spark, sf_dir):
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    t = _records(spark, sf_dir).agg(F.count("*").alias("requests"), is_("request_kind", "text_search").alias("text_searches"), is_("outcome", "fulfilled").alias("fulfilled"), is_("outcome", "zero_result").alias("zero"), is_("outcome", "failure").alias("failures"))
+    return t.withColumn("fulfilment", F.round(records.rate(F.col("fulfilled"), F.col("requests")), 6))
+
+
+@_query("select execution_path as label, any_value(n) as requests, round(avg(duration_ms), 6) as avg_ms, max(case when r = greatest(ceil(n * 0.5), 1) then duration_ms end) as p50, max(case when r = greatest(ceil(n * 0.95), 1) then duration_ms end) as p95, max(case when r = greatest(ceil(n * 0.99), 1) then duration_ms end) as p99 from (select *, row_number() over (partition by execution_path order by duration_ms) as r, count(*) over (partition by execution_path) as n from api_usage) x group by execution_path")
+def d2_internal_overview(spark, sf_dir):
+    u = _canonical(spark, sf_dir, "api_usage").withColumnRenamed("execution_path", "label")
+    out = u.groupBy("label").agg(F.count("*").alias("requests"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"))
+    for p in (50, 95, 99):
+        out = out.join(ranks.nearest_rank(u, ["label"], "duration_ms", p / 100, f"p{p}"), "label", "left")
+    return out
+
+
+@_query(f"select 'outcome' as kind, outcome as choice from ({_RECORD}) r group by 2 union all select 'execution_path', execution_path from ({_RECORD}) r where execution_path is not null group by 2")
+def d4_available_filters(spark, sf_dir):
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("choice")) for k in ("outcome", "execution_path")])).alias("x")
+    return _records(spark, sf_dir).select(each).select("x.*").where("choice is not null").distinct()
