@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import lexicon, text
-from tesserae.operators import lifecycle, ranks, records, search
+from tesserae.operators import lifecycle, planner, ranks, records, search
 from tesserae.sources import bindings, readers
 from tesserae.streaming import telemetry
 
@@ -533,3 +533,75 @@ def d2_internal_overview(spark, sf_dir):
 def d4_available_filters(spark, sf_dir):
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("choice")) for k in ("outcome", "execution_path")])).alias("x")
     return _records(spark, sf_dir).select(each).select("x.*").where("choice is not null").distinct()
+
+
+# planning and generic operators
+_PREFIX = "case id % 4 when 0 then 'wanted ' when 1 then 'cheapest ' when 2 then 'customers looking for ' else '' end"
+
+
+@_query("select request_id, case when id % 4 in (0, 2) then 'wanted' else 'offer' end as intent, true as decisive, case when id % 4 = 1 then 'price_asc' end as sort_order from txt")
+def p14_ad_intent(spark, sf_dir):
+    q = F.expr(_PREFIX + " || query_text")
+    intent, decisive = planner.ad_intent(q)
+    return _canonical(spark, sf_dir, "txt").select("request_id", intent.alias("intent"), decisive.alias("decisive"), planner.sort_order(q).alias("sort_order"))
+
+
+@_query("select o_orderkey as id, (select count(*) from orders where o_totalprice > 10000) as total from orders where o_totalprice > 10000 order by o_orderdate desc, o_orderkey desc limit 20 offset 40")
+def o6_page_with_total(spark, sf_dir):
+    """One page, with the count of all rows taken as an aggregate beside it, so that no window holds the table."""
+    found = _raw(spark, sf_dir, "orders").where("o_totalprice > 10000").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    total = found.agg(F.count("*").alias("total"))
+    return found.orderBy(F.col("o_orderdate").desc(), F.col("id").desc()).offset(40).limit(20).join(F.broadcast(total), F.lit(True)).select("id", "total")
+
+
+@_query("select u.id, coalesce(n, 0) as ads, coalesce(list, '') as list from users u left join (select user_id, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as list from ads group by user_id) a on a.user_id = u.id")
+def j10_nested_ads(spark, sf_dir):
+    each = _canonical(spark, sf_dir, "ads").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("ads"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("list"))
+    return _canonical(spark, sf_dir, "users").select("id").join(each, "id", "left").fillna({"ads": 0, "list": ""})
+
+
+@_query("select request_id, '[' || string_agg('{\"provider\":\"' || provider || '\",\"status\":\"' || status || '\"}', ',' order by provider) || ']' as attempts from attempts group by request_id")
+def j15_json_rollup(spark, sf_dir):
+    one = F.struct("provider", "status")
+    return _canonical(spark, sf_dir, "attempts").groupBy("request_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("attempts"))
+
+
+@_query("select max(m) as watermark from (select max(created_at) as m from ads union all select max(created_at) from users union all select max(created_at) from search_history union all select max(created_at) from api_usage) x")
+def a22_watermark(spark, sf_dir):
+    tables = [_canonical(spark, sf_dir, t).agg(F.max("created_at").cast("timestamp_ntz").alias("at")) for t in ("ads", "users", "search_history", "api_usage")]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out.agg(F.max("at").alias("watermark"))
+
+
+@_query("select city, string_agg(title, ',' order by lower(title), title) as choices from (select distinct city, trim(title) as title from named where title is not null) x group by city")
+def a18_choices(spark, sf_dir):
+    d = _canonical(spark, sf_dir, "named").where("title is not null").select("city", F.trim("title").alias("title")).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct(F.lower("title").alias("k"), "title")))
+    return d.groupBy("city").agg(F.array_join(F.transform(ordered, lambda x: x["title"]), ",").alias("choices"))
+
+
+@_query("select created_at, cast(date_trunc('week', created_at + interval 330 minute) as date) as week, hour(created_at + interval 330 minute) as hour, count(*) as n from search_history group by all")
+def t6_zoned_buckets(spark, sf_dir):
+    """Weeks from Monday and hours on the tenant's clock."""
+    local = F.from_utc_timestamp(F.col("created_at").cast("timestamp"), "Asia/Kolkata")
+    h = _canonical(spark, sf_dir, "search_history")
+    return h.groupBy("created_at", F.date_trunc("week", local).cast("date").alias("week"), F.hour(local).alias("hour")).agg(F.count("*").alias("n"))
+
+
+@_query("select user_id as id from ads where rental_fee > 3000 intersect select id from users where is_verified = 1")
+def u3_intersect(spark, sf_dir):
+    return _canonical(spark, sf_dir, "ads").where("rental_fee > 3000").select(F.col("user_id").alias("id")).intersect(_canonical(spark, sf_dir, "users").where("is_verified = 1").select("id"))
+
+
+@_query("select cast(extract(hour from created_at) as int) as hour, count(distinct lower(trim(query_text))) as queries from txt group by 1")
+def a17_distinct_queries(spark, sf_dir):
+    return _canonical(spark, sf_dir, "txt").groupBy(F.hour("created_at").alias("hour")).agg(F.countDistinct(F.lower(F.trim("query_text"))).alias("queries"))
+
+
+@_query("select doc_id, sha256(cast(doc_id as varchar) || ':' || coalesce(source, '')) as document_id, sha256(coalesce(text, '')) as content_hash from documents where trim(coalesce(text, '')) <> ''")
+def i1_index_rows(spark, sf_dir):
+    """Rows to index: those with text, with their ids and content hashes."""
+    d = readers.with_text(_raw(spark, sf_dir, "documents"), "text")
+    return d.select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("source", F.lit(""))), 256).alias("document_id"), F.sha2("text", 256).alias("content_hash"))
