@@ -28,8 +28,8 @@ METRICS: dict[str, str] = {
     "q15_search_volume": "select h.hour, cast(count(t.id) as bigint) as n from (select distinct cast(n_nationkey as int) as hour from nation where n_nationkey < 24) h left join txt t on cast(extract(hour from t.created_at) as int) = h.hour group by h.hour",
     "q88_repeat_demand": "select lower(trim(query_text)) as label, cast(count(*) as bigint) as n from txt group by 1 having count(*) > 1 order by n desc, label limit 20",
     "q88_repeat_totals": "select cast(count(*) as bigint) as unique_queries, cast(count(case when n > 1 then 1 end) as bigint) as repeated from (select lower(trim(query_text)) as q, count(*) as n from txt group by 1) x",
-    "q90_complexity_performance": f"select {_cases('w', [2, 3, 5, 8], ['1', '2', '3-4', '5-7', '8+'])} as label, cast(count(*) as bigint) as n, round(avg(duration_ms), 6) as avg_ms, round(100.0 * count(case when total_results = 0 then 1 end) / count(*), 6) as zero_rate from (select {_LEN} as w, a.duration_ms, a.total_results from txt h join ok a on a.request_id = h.request_id) x group by 1",
-    "q91_path_outcomes": "select execution_path as label, cast(count(*) as bigint) as requests, cast(count(case when status = 'success' then 1 end) as bigint) as successful, round(100.0 * count(case when status = 'success' and total_results = 0 then 1 end) / nullif(count(case when status = 'success' then 1 end), 0), 6) as zero_rate, round(100.0 * count(case when status <> 'success' then 1 end) / count(*), 6) as failure_rate, round(avg(duration_ms), 6) as avg_ms, round(avg(case when status = 'success' then total_results end), 6) as avg_results from tapi group by execution_path",
+    "q90_complexity_performance": f"select {_cases('w', [2, 3, 5, 8], ['1', '2', '3-4', '5-7', '8+'])} as label, cast(count(*) as bigint) as n, round(avg(duration_ms), 6) as avg_ms, round(100e0 * count(case when total_results = 0 then 1 end) / count(*), 6) as zero_rate from (select {_LEN} as w, a.duration_ms, a.total_results from txt h join ok a on a.request_id = h.request_id) x group by 1",
+    "q91_path_outcomes": "select execution_path as label, cast(count(*) as bigint) as requests, cast(count(case when status = 'success' then 1 end) as bigint) as successful, round(100e0 * count(case when status = 'success' and total_results = 0 then 1 end) / nullif(count(case when status = 'success' then 1 end), 0), 6) as zero_rate, round(100e0 * count(case when status <> 'success' then 1 end) / count(*), 6) as failure_rate, round(avg(duration_ms), 6) as avg_ms, round(avg(case when status = 'success' then total_results end), 6) as avg_results from tapi group by execution_path",
     "q92_provider_reliability": "select provider as label, cast(count(case when status = 'success' then 1 end) as bigint) as success, cast(count(case when status = 'fallback' then 1 end) as bigint) as fallback, cast(count(case when status not in ('success', 'fallback') then 1 end) as bigint) as failure from attempts group by provider",
     "q85_zero_results_cities": f"select n.n_name as label, cast(count(*) as bigint) as n from ({_ZERO}) z join nation n on z.query_text like '%' || n.n_name || '%' group by n.n_name order by n desc, label limit 15",
     "q5_location_mentions": "select n.n_name as label, cast(count(*) as bigint) as n from txt t join nation n on t.query_text like '%' || n.n_name || '%' group by n.n_name order by n desc, label limit 20",
@@ -43,13 +43,13 @@ METRICS: dict[str, str] = {
     "q26_token_consumption": "select cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(total_tokens) as bigint) as total_tokens, round(avg(total_tokens), 6) as avg_tokens from tapi",
     "q27_tokens_by_path": "select execution_path as label, round(avg(total_tokens), 6) as avg_total, round(avg(input_tokens), 6) as avg_input, round(avg(output_tokens), 6) as avg_output, cast(sum(total_tokens) as bigint) as total from tapi group by execution_path",
     "q28_provider_usage": "select provider as label, cast(count(*) as bigint) as n from attempts group by provider",
-    "q29_provider_reliability": "select provider as label, cast(count(*) as bigint) as n, round(100.0 * count(case when status = 'success' then 1 end) / count(*), 6) as success_rate, round(avg(duration_ms), 4) as avg_ms from attempts group by provider",
+    "q29_provider_reliability": "select provider as label, cast(count(*) as bigint) as n, round(100e0 * count(case when status = 'success' then 1 end) / count(*), 6) as success_rate, round(avg(duration_ms), 4) as avg_ms from attempts group by provider",
     "q30_latency_per_operation": "select operation as label, cast(count(*) as bigint) as n, round(avg(duration_ms), 4) as avg_ms, round(sum(duration_ms), 2) as total_ms from attempts group by operation",
     "q31_model_latency": "select provider || ' / ' || model as label, cast(count(*) as bigint) as n, round(avg(duration_ms), 4) as avg_ms from attempts group by 1",
     "q32_reranking_fallback": "select cast(count(case when operation = 'reranking' then 1 end) as bigint) as reranking, cast(count(case when operation = 'reranking' and status = 'fallback' then 1 end) as bigint) as fallbacks, cast(count(distinct case when status = 'fallback' then request_id end) as bigint) as requests_with_fallback from attempts",
     "q33_failure_reasons": "select failure_reason as label, cast(count(*) as bigint) as n from attempts where coalesce(failure_reason, '') <> '' group by failure_reason",
     "q35_result_distribution": f"select {_RESULTS} as label, cast(count(*) as bigint) as n from ok group by 1",
-    "q36_zero_result_rate": "select round(100.0 * count(case when total_results = 0 then 1 end) / nullif(count(*), 0), 6) as zero_rate, cast(count(*) as bigint) as successful from ok",
+    "q36_zero_result_rate": "select round(100e0 * count(case when total_results = 0 then 1 end) / nullif(count(*), 0), 6) as zero_rate, cast(count(*) as bigint) as successful from ok",
     "q37_results_by_path": "select execution_path as label, round(avg(total_results), 6) as avg_results from ok group by execution_path",
     "q38_zero_result_queries": f"select request_id, query_text from ({_ZERO}) z",
     "q39_length_vs_results": f"select {_LEN} as words, round(avg(a.total_results), 6) as avg_results from txt h join ok a on a.request_id = h.request_id group by 1 order by words limit 15",
@@ -64,7 +64,7 @@ METRICS: dict[str, str] = {
     "q53_gender_split": "select case gender when 1 then 'Male' when 2 then 'Female' else 'Not Specified' end as label, cast(count(*) as bigint) as n from users group by 1",
     "q54_platform": "select cast(platform as bigint) as label, cast(count(*) as bigint) as n from users group by platform order by n desc, label limit 10",
     "q55_ads_per_user": f"select {_cases('n', [2, 3, 6, 11, 51], ['1', '2', '3-5', '6-10', '11-50', '50+'])} as label, cast(count(*) as bigint) as sellers, cast(max(n) as bigint) as most from (select user_id, count(*) as n from ads group by user_id) x group by 1",
-    "q56_verification": "select cast(sum(is_verified) as bigint) as verified, round(100.0 * sum(is_verified) / count(*), 6) as pct from users",
+    "q56_verification": "select cast(sum(is_verified) as bigint) as verified, round(100e0 * sum(is_verified) / count(*), 6) as pct from users",
     "q58_products_vs_services": "select case cat_group when 1 then 'Products' when 2 then 'Services' end as label, cast(count(*) as bigint) as n from named group by 1",
     "q59_top_subcategories": _top("sub_name", "named", 20),
     "q60_rental_fee_distribution": f"select {_FEES} as label, cast(count(*) as bigint) as n from ads where rental_fee > 0 group by 1",
