@@ -1,7 +1,7 @@
 """The operators' queries against their own SQL, and what SQL cannot say against plain Python."""
 
 import json
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
@@ -25,7 +25,9 @@ def con():
 
 
 def _plain(v):
-    return "null" if v is None else f"{v:.7g}" if isinstance(v, float) else str(float(v)) if not isinstance(v, (str, datetime)) else str(v)
+    if v is None or isinstance(v, (str, date)):
+        return str(v)
+    return f"{float(v):.7g}"
 
 
 @pytest.mark.parametrize("name", catalog.SQL)
