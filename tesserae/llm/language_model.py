@@ -6,9 +6,9 @@ the texts).  The most frequent words make the model's vocabulary; a word outside
 counts of the whole corpus enter it.
 
 The network is a gated recurrent unit in numpy whose softmax is factored into word classes.  It is
-trained by truncated backpropagation: every training text gives a contiguous eighth of its windows,
-from a hashed place on, with the state carried from window to window.  Each task trains on its own
-texts; the networks are averaged by the words they saw, and a second round starts from the average.
+trained by truncated backpropagation over all windows of every training text, with the state carried
+from window to window.  Each task trains on its own texts; the networks are averaged by the words they
+saw.  The second round starts from the average and has the other half of the texts.
 Scoring carries the state across all windows of a text, from its first word to its end.
 """
 
@@ -30,8 +30,6 @@ PER_CLASS = 32
 VOCABULARY = CLASSES * PER_CLASS - 2
 UNKNOWN, END = 0, 1
 HIDDEN = 16
-#: Of a training text's windows, one in so many is trained on.
-SHARE = 8
 ROUNDS = 2
 TRAIN_SLOTS, TRAIN_STEPS = 128, 16
 SCORE_SLOTS, SCORE_STEPS = 256, 32
@@ -270,16 +268,9 @@ def _train(net: Net, batches: Iterator[pa.RecordBatch], vocabulary: tuple[np.nda
     seen, t = 0, 0
     m, v = {k: np.zeros_like(p) for k, p in net.items()}, {k: np.zeros_like(p) for k, p in net.items()}
     for batch in batches:
-        keys = batch.column(0).to_numpy()
         tokens, first = _tokens(batch, 1, vocabulary)
-        n = np.diff(first)
-        windows = -(-n // TRAIN_STEPS)
-        span = -(-windows // SHARE)
-        offset = (K.mix(keys.view(np.uint64)) % np.maximum(windows - span + 1, 1).astype(np.uint64)).astype(np.int64)
-        begin = first[:-1] + offset * TRAIN_STEPS
-        end = np.minimum(begin + span * TRAIN_STEPS, first[1:])
         h = None
-        for x, y, mask, run, fresh, keep in _windows(tokens, begin, end, TRAIN_SLOTS, TRAIN_STEPS):
+        for x, y, mask, run, fresh, keep in _windows(tokens, first[:-1], first[1:], TRAIN_SLOTS, TRAIN_STEPS):
             if h is None:
                 h = np.zeros((len(run), HIDDEN), np.float32)
             elif keep is not None:

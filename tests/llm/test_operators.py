@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tesserae.llm")
@@ -242,6 +244,13 @@ def test_language_model(docs, empty, texts):
     assert language_model.log_likelihood(empty, out).count() == 0
 
 
+def test_language_model_trains_on_every_word(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t or "" for t in texts])], names=["key", "txt"])
+    net = language_model.start_net(np.ones(language_model._SIZE))
+    vocabulary = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    assert language_model._train(net, iter([batch]), vocabulary) == sum(len(_words(t)) + 1 for t in texts)
+
+
 def test_classifiers(spark):
     rng = random.Random(1)
     rows, labels = [], []
