@@ -239,9 +239,12 @@ fused as (select qid, id, coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60
 """
 
 
-def _asked(spark, sf_dir) -> DataFrame:
-    e, p = _raw(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), _raw(spark, sf_dir, "part")
-    return e.join(p, e.vec_id == p.p_partkey).select(F.col("vec_id").alias("qid"), "p_name", "embedding")
+def _asked(spark, sf_dir, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Keyword queries and vector queries, by ``qid``: rows with an id divisible by 50, if not ``whole`` only ids in both tables."""
+    e, p = _raw(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), _raw(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    if not whole:
+        e, p = e.join(p, e.vec_id == p.p_partkey, "left_semi"), p.join(e, e.vec_id == p.p_partkey, "left_semi")
+    return p.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("query")), e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -250,46 +253,46 @@ def _items(spark, sf_dir) -> DataFrame:
 
 
 @_query(_SEARCH + "select qid, id, score, rank from kw")
-def r2_keyword_search(spark, sf_dir):
-    return search.keyword_search(_items(spark, sf_dir), _asked(spark, sf_dir).select("qid", F.col("p_name").alias("query")), 20)
+def r2_keyword_search(spark, sf_dir, whole=False):
+    return search.keyword_search(_items(spark, sf_dir), _asked(spark, sf_dir, whole)[0], 20)
 
 
 @_query(_SEARCH + "select qid, id, score, rank from vec")
-def r7_vector_search(spark, sf_dir):
-    return search.vector_search(_raw(spark, sf_dir, "embeddings"), _asked(spark, sf_dir).select("qid", F.col("embedding").alias("query")), 20, "vec_id", "embedding")
+def r7_vector_search(spark, sf_dir, whole=False):
+    return search.vector_search(_raw(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, whole)[1], 20, "vec_id", "embedding")
 
 
-def _fused(spark, sf_dir) -> DataFrame:
-    return search.fuse(r7_vector_search(spark, sf_dir), r2_keyword_search(spark, sf_dir))
+def _fused(spark, sf_dir, whole=False) -> DataFrame:
+    return search.fuse(r7_vector_search(spark, sf_dir, whole), r2_keyword_search(spark, sf_dir, whole))
 
 
 @_query(_SEARCH + "select qid, id, round(fusion_score, 9) as fusion_score, source, rank from fused")
-def r12_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir).withColumn("fusion_score", F.round("fusion_score", 9))
+def r12_fusion(spark, sf_dir, whole=False):
+    return _fused(spark, sf_dir, whole).withColumn("fusion_score", F.round("fusion_score", 9))
 
 
 @_query(_SEARCH + """, titled as (select f.qid, f.id, f.rank, nullif(lower(i.title), '') as t from fused f join items i using (id)),
 marked as (select *, row_number() over (partition by qid, t order by rank) > 1 and t is not null as again from titled),
 placed as (select *, again or sum(case when again then 0 else 1 end) over (partition by qid order by rank) > 10 as late from marked)
 select qid, id, row_number() over (partition by qid order by late, rank) as rank from placed""")
-def w5_diverse_titles(spark, sf_dir):
-    ranked = _fused(spark, sf_dir).select("qid", "id", "rank").join(_items(spark, sf_dir).select("id", "title"), "id")
+def w5_diverse_titles(spark, sf_dir, whole=False):
+    ranked = _fused(spark, sf_dir, whole).select("qid", "id", "rank").join(_items(spark, sf_dir).select("id", "title"), "id")
     return search.diverse(ranked, "title", 10).select("qid", "id", "rank")
 
 
 @_query(_SEARCH + "select qid, id, tier, row_number() over (partition by qid order by tier, w, id) as rank from (select qid, id, min(tier) as tier, min_by(w, tier) as w from (select qid, id, 0 as tier, rank as w from kw where rank <= 5 union all select qid, id, 1, rank from fused union all select qid, id, 2, rank from vec) x group by qid, id) y")
-def r17_tiers(spark, sf_dir):
-    kw, vec = r2_keyword_search(spark, sf_dir), r7_vector_search(spark, sf_dir)
+def r17_tiers(spark, sf_dir, whole=False):
+    kw, vec = r2_keyword_search(spark, sf_dir, whole), r7_vector_search(spark, sf_dir, whole)
     return search.tiers([kw.where("rank <= 5"), search.fuse(vec, kw), vec])
 
 
 @_query(_SEARCH + "select qid, id, score, rank from (select *, max(score) over (partition by qid) as best from vec) x where score >= greatest(0.1, 0.3 * best)")
-def r20_score_floor(spark, sf_dir):
-    return search.above_floor(r7_vector_search(spark, sf_dir), "score", 0.1, 0.3)
+def r20_score_floor(spark, sf_dir, whole=False):
+    return search.above_floor(r7_vector_search(spark, sf_dir, whole), "score", 0.1, 0.3)
 
 
-def r19_verified_bands(spark, sf_dir):
-    ranked = r2_keyword_search(spark, sf_dir).join(_items(spark, sf_dir).select("id", "verified"), "id").select("qid", "id", "score", "rank", "verified")
+def r19_verified_bands(spark, sf_dir, whole=False):
+    ranked = r2_keyword_search(spark, sf_dir, whole).join(_items(spark, sf_dir).select("id", "verified"), "id").select("qid", "id", "score", "rank", "verified")
     return search.verified_first(ranked, "score", "verified")
 
 
@@ -299,17 +302,26 @@ _GOOD = ", good as (select a.qid, e.vec_id as id from asked a join embeddings q
 
 
 @_query(_SEARCH + _GOOD + "select qid, round(coalesce(1.0 / min(case when good then rank end), 0), 9) as reciprocal_rank, round(count(case when good and rank <= 3 then 1 end) / 3.0, 9) as precision_at_k, cast(count(case when good and rank <= 10 then 1 end) > 0 as double) as hit, round(count(case when good then 1 end) * 1.0 / any_value(w), 9) as recall from hit join (select qid, count(*) as w from good group by qid) x using (qid) group by qid")
-def e1_measures(spark, sf_dir):
+def e1_measures(spark, sf_dir, whole=False):
     e = _raw(spark, sf_dir, "embeddings")
-    asked = _asked(spark, sf_dir).select("qid")
+    asked = _asked(spark, sf_dir, whole)[1].select("qid")
     good = e.join(asked, e.vec_id == asked.qid).select("qid", "label").join(e.select("vec_id", "label"), "label").select("qid", F.col("vec_id").alias("id"))
-    out = ranks.measured(r7_vector_search(spark, sf_dir), good, asked)
+    out = ranks.measured(r7_vector_search(spark, sf_dir, whole), good, asked)
     return out.select("qid", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
 @_query(_SEARCH + "select qid, round(count(case when a is not null and b is not null then 1 end) * 1.0 / greatest(least(count(a), count(b)), 1), 9) as overlap from (select coalesce(v.qid, f.qid) as qid, v.id as a, f.id as b from (select * from vec where rank <= 10) v full join (select * from fused where rank <= 10) f on f.qid = v.qid and f.id = v.id) x group by qid")
-def i9_overlap(spark, sf_dir):
-    return ranks.overlap(r7_vector_search(spark, sf_dir), _fused(spark, sf_dir), 10).withColumn("overlap", F.round("overlap", 9))
+def i9_overlap(spark, sf_dir, whole=False):
+    return ranks.overlap(r7_vector_search(spark, sf_dir, whole), _fused(spark, sf_dir, whole), 10).withColumn("overlap", F.round("overlap", 9))
+
+
+# the same over all queries: every part is a keyword query and every embedding a vector query if its id is divisible by 50
+_BOTH = f"asked as (select e.vec_id as qid, {_TOKENS.format('p_name')} as ts, e.embedding as query from embeddings e join part on p_partkey = e.vec_id where e.vec_id % 50 = 0)"
+_EACH = f"asked as (select p_partkey as qid, {_TOKENS.format('p_name')} as ts from part where p_partkey % 50 = 0), asked_vec as (select vec_id as qid, embedding as query from embeddings where vec_id % 50 = 0)"
+for _name in ("r2_keyword_search", "r7_vector_search", "r12_fusion", "w5_diverse_titles", "r17_tiers", "r20_score_floor", "r19_verified_bands", "e1_measures", "i9_overlap"):
+    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, f=QUERIES[_name]: f(spark, sf_dir, True)
+    if _name in SQL:
+        SQL[f"{_name}_whole"] = SQL[_name].replace(_BOTH, _EACH).replace("cross join asked a", "cross join asked_vec a").replace("from asked a join embeddings q", "from asked_vec a join embeddings q")
 
 
 @_query("select p_name as value, count(*) over () as n from (select distinct p_name from part where lower(p_name) like 'r%' order by case when lower(p_name) = 'r' then 0 else 1 end, lower(p_name), p_name limit 5) x")

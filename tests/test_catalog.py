@@ -41,6 +41,16 @@ def test_same_as_sql(spark, con, name):
     assert sorted(tuple(_plain(r[c]) for c in cols) for r in df.collect()) == want
 
 
+def test_every_query_is_asked(spark):
+    """All ids divisible by 50: of parts for keywords, of embeddings for vectors, of either once fused."""
+    data = "/root/testdata/sf0.01"
+    ids = {t: {r[0] for r in spark.read.parquet(f"{data}/{t}.parquet").select(c).where(f"{c} % 50 = 0").collect()} for t, c in (("part", "p_partkey"), ("embeddings", "vec_id"))}
+    asked = lambda name: {r.qid for r in catalog.QUERIES[name](spark, data).select("qid").distinct().collect()}
+    assert asked("r2_keyword_search_whole") == ids["part"]
+    assert asked("r7_vector_search_whole") == ids["embeddings"]
+    assert asked("r12_fusion_whole") == ids["part"] | ids["embeddings"]
+
+
 def _one(spark, value, make):
     return spark.createDataFrame([(value,)], "q string").select(make(F.col("q")).alias("r")).first()["r"]
 
