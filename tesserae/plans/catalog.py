@@ -547,6 +547,41 @@ def d4_available_filters(spark, sf_dir):
     return _records(spark, sf_dir).select(each).select("x.*").where("choice is not null").distinct()
 
 
+_DASH = f"(select r.*, coalesce(a.total_results, 0) as results, {_NQ.format('r.query_text')} as nq from ({_RECORD}) r left join api_usage a on a.request_id = r.request_id)"
+
+
+def _text(spark, sf_dir) -> DataFrame:
+    """Records with their results, whether they search text, and their language."""
+    results = _canonical(spark, sf_dir, "api_usage").select("request_id", F.coalesce("total_results", F.lit(0)).alias("results"))
+    return _records(spark, sf_dir).join(results, "request_id", "left").withColumns({"text": F.col("request_kind") == "text_search", "language": text.language(F.col("query_text"))})
+
+
+_OF_TEXT = ", ".join(f"count(case when {'' if side == 'text' else 'not '}(request_kind = 'text_search') and outcome = '{o}' then 1 end) as {side}_{o}" for side in ("text", "browse") for o in ("fulfilled", "zero_result", "failure"))
+
+
+@_query(f"select *, round(case when searches > 0 then 100.0 * text_fulfilled / searches end, 6) as fulfilment from (select count(*) as requests, count(case when request_kind = 'text_search' then 1 end) as searches, count(case when request_kind <> 'text_search' then 1 end) as browse, {_OF_TEXT}, round(avg(case when request_kind = 'text_search' then coalesce(results, 0) end), 6) as avg_results from {_DASH} d) x")
+def d1_text_searches(spark, sf_dir):
+    """Outcomes, fulfilment and average results of text searches, apart from browse requests."""
+    sides = {"text": F.col("text"), "browse": ~F.col("text")}
+    split = [F.count_if(on & (F.col("outcome") == o)).alias(f"{side}_{o}") for side, on in sides.items() for o in ("fulfilled", "zero_result", "failure")]
+    t = _text(spark, sf_dir).agg(F.count("*").alias("requests"), F.count_if("text").alias("searches"), F.count_if(~F.col("text")).alias("browse"), *split, F.round(F.avg(F.when(F.col("text"), F.coalesce("results", F.lit(0)))), 6).alias("avg_results"))
+    return t.withColumn("fulfilment", F.round(records.rate(F.col("text_fulfilled"), F.col("searches")), 6))
+
+
+_PARTS = f"select 'outcome' as kind, outcome as label from {_DASH} d where request_kind = 'text_search' union all select 'request_kind', request_kind from {_DASH} d union all select 'browse_outcome', outcome from {_DASH} d where request_kind <> 'text_search' union all select 'category', unnest({_CATS}) from {_DASH} d where request_kind = 'text_search' union all select 'language', {_LANGUAGE} from {_DASH} d where request_kind = 'text_search'"
+
+
+@_query(f"select kind, label, count(*) as n from ({_PARTS}) x group by kind, label")
+def d1_breakdowns(spark, sf_dir):
+    """The five counts of the company overview; outcomes, categories and languages are those of text searches."""
+    one = lambda kind, on, c: F.when(on, F.struct(F.lit(kind).alias("kind"), c.alias("label")))
+    is_text = F.col("text")
+    few = F.array(one("outcome", is_text, F.col("outcome")), one("request_kind", F.lit(True), F.col("request_kind")), one("browse_outcome", ~is_text, F.col("outcome")), one("language", is_text, F.col("language")))
+    many = F.when(is_text, F.transform("categories", lambda c: F.struct(F.lit("category").alias("kind"), c.alias("label"))))
+    each = _text(spark, sf_dir).select(F.explode(F.concat(few, F.coalesce(many, F.array().cast("array<struct<kind:string,label:string>>")))).alias("x")).where("x is not null")
+    return each.groupBy("x.kind", "x.label").agg(F.count("*").alias("n"))
+
+
 # planning and generic operators
 _PREFIX = "case id % 4 when 0 then 'wanted ' when 1 then 'cheapest ' when 2 then 'customers looking for ' else '' end"
 

@@ -51,6 +51,14 @@ def test_every_query_is_asked(spark):
     assert asked("r12_fusion_whole") == ids["part"] | ids["embeddings"]
 
 
+def test_fulfilment_is_of_text_searches(spark):
+    """Browse requests ('view' events here) count on their own side only."""
+    r = catalog.QUERIES["d1_text_searches"](spark, DATA).first()
+    views = spark.read.parquet(f"{DATA}/events.parquet").where("event_type = 'view'").count()
+    assert r.browse == views > 0 and r.searches == r.requests - views
+    assert r.fulfilment == pytest.approx(100 * r.text_fulfilled / r.searches, abs=1e-5)
+
+
 def _one(spark, value, make):
     return spark.createDataFrame([(value,)], "q string").select(make(F.col("q")).alias("r")).first()["r"]
 
