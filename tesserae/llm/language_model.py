@@ -1,15 +1,17 @@
 """A gated recurrent language model over words: training, and whole-document log-likelihood.
 
-Counts of all training words come first (words are dealt by hash, counted, and their sums go back to
-the texts).  The most frequent words make the model's vocabulary; a word outside it is predicted as
-"unknown" and then by its count among the unknown, so every text has a true probability and the
-counts of the whole corpus enter it.
+Counts of all training words come first, summed in each task before they are shuffled.  The counts
+of the most frequent words, ``FREQUENT`` at most, are sent to every task; only the pairs of a text and
+a rarer word are dealt by word, counted, and their sums sent back to the texts, so that no word that
+much of the corpus has lands in one task.  The most frequent words make the model's vocabulary; a word
+outside it is predicted as "unknown" and then by its count among the unknown, so every text has a true
+probability and the counts of the whole corpus enter it.
 
 The network is a gated recurrent unit in numpy whose softmax is factored into word classes.  It is
 trained by truncated backpropagation over all windows of every training text, with the state carried
-from window to window.  Each task trains on its own texts; the networks are averaged by the words they
-saw.  The second round starts from the average and has the other half of the texts.
-Scoring carries the state across all windows of a text, from its first word to its end.
+from window to window through runs of ``TRAIN_RUN`` tokens.  Each task trains on its own texts; the
+networks are averaged by the words they saw.  The second round starts from the average and has the
+other half of the texts.  Scoring carries the state across all windows of a text, from its first word to its end.
 """
 
 from __future__ import annotations
@@ -31,10 +33,16 @@ VOCABULARY = CLASSES * PER_CLASS - 2
 UNKNOWN, END = 0, 1
 HIDDEN = 16
 ROUNDS = 2
-TRAIN_SLOTS, TRAIN_STEPS = 128, 16
+TRAIN_SLOTS, TRAIN_STEPS = 256, 16
+#: Tokens through which training carries the state, at most; tokens from one step of the weights to the next.
+TRAIN_RUN, UPDATE, WARM_UP = 1024, 4096, 10
 SCORE_SLOTS, SCORE_STEPS = 256, 32
-RATE = 0.01
-#: (text, word) pairs that one dealt bucket holds in a worker's memory.
+RATE = 0.02
+#: Words whose counts are sent to every task (16 bytes each).
+FREQUENT = 1 << 18
+#: Distinct words that a task counts before it sends their sums on.
+COUNTED = 2_000_000
+#: (text, rare word) pairs that one dealt bucket holds in a worker's memory.
 DEALT = 3_000_000
 LOG10 = math.log(10)
 
@@ -49,8 +57,46 @@ def _hashed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, K.Wo
         yield a, b, words, K.word_hashes(low, words)
 
 
-def _dealt(buckets: int):
-    """Packed blocks of (text, word, times): bucket, texts, whether they train, pairs of each, hashes, times."""
+def _at(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of ``h`` in sorted hashes, -1 where it is not among them."""
+    if not len(hashes):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    return np.where(hashes[at] == h, at, -1)
+
+
+def _summed(h: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct hashes, and the sums of the others by hash."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, int)
+    return h[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their times in training texts and in all texts, summed over the task or a large part of it."""
+    parts, held = [], 0
+
+    def flush(total: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1]), pa.array(total[2])], names=["word", "train", "every"])
+
+    for batch in batches:
+        train = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b, words, h in _hashed(batch, 1):
+            parts.append(_summed(h, train[a:b][words.rows], np.ones(len(h), np.int64)))
+            held += len(parts[-1][0])
+            if held >= COUNTED:
+                total = _summed(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+                parts, held = [total], len(total[0])
+                if held >= COUNTED // 2:
+                    yield flush(total)
+                    parts, held = [], 0
+    if parts:
+        yield flush(_summed(*(np.concatenate(p) for p in zip(*parts, strict=True))))
+
+
+def _dealt(buckets: int, frequent: np.ndarray):
+    """Packed blocks of (text, rare word, times): bucket, texts, whether they train, pairs of each, hashes, times."""
 
     def flush(parts: list) -> pa.RecordBatch:
         key, train, own, h, times = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -71,8 +117,10 @@ def _dealt(buckets: int):
             keys = batch.column(0).to_numpy()
             train = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, words, h in _hashed(batch, 2):
-                order = np.lexsort((h, words.rows))
-                hs, rs = h[order], words.rows[order]
+                rare = _at(frequent, h) < 0
+                h, rows = h[rare], words.rows[rare]
+                order = np.lexsort((h, rows))
+                hs, rs = h[order], rows[order]
                 first = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])]) if len(hs) else np.empty(0, int)
                 parts.append((keys[a:b], train[a:b].astype(np.uint8), rs[first] + texts, hs[first], np.diff(np.r_[first, len(hs)])))
                 texts += b - a
@@ -87,7 +135,7 @@ def _dealt(buckets: int):
 
 
 def _bucket_counts(table: pa.Table) -> pa.Table:
-    """Rows of three kinds: 0 a text's known words and sum of log10(c + 0.1); 1 a frequent word; 2 the totals."""
+    """Each text's known words among the bucket's, and their sum of log10(c + 0.1)."""
 
     def all_of(name: str, kind) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
@@ -99,14 +147,9 @@ def _bucket_counts(table: pa.Table) -> pa.Table:
     h, times = all_of("hashes", np.uint64), all_of("times", np.uint32).astype(np.int64)
     words, inverse = np.unique(h, return_inverse=True)
     c = np.bincount(inverse, weights=times * train, minlength=len(words))
-    logs = np.log10(c + 0.1)[inverse] * times
     known = np.bincount(own, weights=np.where(c[inverse] > 0, times, 0), minlength=len(texts))
-    sums = np.bincount(own, weights=logs, minlength=len(texts))
-    top = np.lexsort((words, -c))[:VOCABULARY]
-    top = top[c[top] > 0]
-    kind = np.r_[np.zeros(len(texts), np.int32), np.ones(len(top), np.int32), np.full(1, 2, np.int32)]
-    who = np.r_[texts, words[top].view(np.int64), np.int64((c > 0).sum())]
-    return pa.table([pa.array(kind), pa.array(who), pa.array(np.r_[known, c[top], c.sum()]), pa.array(np.r_[sums, np.zeros(len(top) + 1)])], names=["kind", "who", "a", "b"])
+    sums = np.bincount(own, weights=np.log10(c + 0.1)[inverse] * times, minlength=len(texts))
+    return pa.table([pa.array(texts), pa.array(known), pa.array(sums)], names=["key", "known", "logs"])
 
 
 # --- the network ------------------------------------------------------------------------------
@@ -230,7 +273,7 @@ def _windows(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray, slots: int,
     """Runs of ``tokens[begin:end]`` through a fixed number of slots, each refilled when its run ends.
 
     Yields inputs and targets of shape (steps, slots), a mask, the run in each slot, and the slots
-    whose state starts anew.  A run's first input is END.  Longer runs go first.
+    whose state starts anew.  A text's first input is END.  Longer runs go first.
     """
     order = np.argsort(begin - end, kind="stable")
     queue = 0
@@ -259,51 +302,81 @@ def _windows(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray, slots: int,
         mask = place < end[run][None, :]
         place = np.minimum(place, len(padded) - 1)
         y = padded[place]
-        x = np.where(place == begin[run][None, :], END, padded[place - 1])
+        x = np.where(place == 0, END, padded[place - 1])  # before a text comes the end of another
         yield x, y, mask, run, fresh, keep
         at = at + steps
 
 
+class _Adam:
+    """Weights stepped by the mean gradient of every ``UPDATE`` tokens or a little more, however few a window has."""
+
+    def __init__(self, net: Net):
+        self.net, self.steps, self.tokens = net, 0, 0
+        self.grads, self.m, self.v = ({k: np.zeros_like(p) for k, p in net.items()} for _ in range(3))
+
+    def saw(self, tokens: int) -> None:
+        self.tokens += tokens
+        if self.tokens >= UPDATE:
+            self.step()
+
+    def step(self) -> None:
+        if not self.tokens:
+            return
+        self.steps += 1
+        rate = RATE * min(1.0, self.steps / WARM_UP) / (1 - 0.9**self.steps)
+        least = 1e-6 * (spread := math.sqrt(1 - 0.99**self.steps))
+        for k, g in self.grads.items():
+            g /= self.tokens
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.net[k] -= (rate * spread) * m / (np.sqrt(v) + least)
+            g[:] = 0
+        self.tokens = 0
+
+
+def _runs(first: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of at most ``longest`` tokens begin and end that together cover all texts: a long text has many."""
+    size = np.diff(first)
+    n = -(-size // longest)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(first[:-1], n) + at * longest
+    return begin, np.minimum(begin + longest, np.repeat(first[1:], n))
+
+
 def _train(net: Net, batches: Iterator[pa.RecordBatch], vocabulary: tuple[np.ndarray, np.ndarray]) -> int:
-    seen, t = 0, 0
-    m, v = {k: np.zeros_like(p) for k, p in net.items()}, {k: np.zeros_like(p) for k, p in net.items()}
+    seen, adam = 0, _Adam(net)
     for batch in batches:
         tokens, first = _tokens(batch, 1, vocabulary)
         h = None
-        for x, y, mask, run, fresh, keep in _windows(tokens, first[:-1], first[1:], TRAIN_SLOTS, TRAIN_STEPS):
+        for x, y, mask, _, fresh, keep in _windows(tokens, *_runs(first, TRAIN_RUN), TRAIN_SLOTS, TRAIN_STEPS):
             if h is None:
-                h = np.zeros((len(run), HIDDEN), np.float32)
+                h = np.zeros((x.shape[1], HIDDEN), np.float32)
             elif keep is not None:
                 h = h[keep]
             h = h.copy()
             h[fresh] = 0
             states, last, saved = _unroll(net, x, h, True)
-            grads = {k: np.zeros_like(p) for k, p in net.items()}
             on = mask.ravel()
-            _, dh = _output(net, states.reshape(-1, HIDDEN)[on], y.ravel()[on], grads)
+            _, dh = _output(net, states.reshape(-1, HIDDEN)[on], y.ravel()[on], adam.grads)
             dout = np.zeros((on.size, HIDDEN), np.float32)
             dout[on] = dh
-            _backward(net, x, saved, dout.reshape(states.shape), grads)
-            t += 1
-            scale = 1 / max(1, int(on.sum()))
-            for k, g in grads.items():
-                g *= scale
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                net[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
-            seen += int(on.sum())
+            _backward(net, x, saved, dout.reshape(states.shape), adam.grads)
+            n = int(on.sum())
+            adam.saw(n)
+            seen += n
             h = last
+    adam.step()
     return seen
 
 
-def _tokens(batch: pa.RecordBatch, column: int, vocabulary: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary numbers of all texts, each followed by END, and where each text starts."""
+def _tokens(batch: pa.RecordBatch, column: int, vocabulary: tuple[np.ndarray, np.ndarray], unknown: int = UNKNOWN, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all texts' words, each text followed by END, and where each text starts."""
     hashes, numbers = vocabulary
+    every = np.r_[numbers, unknown].astype(np.int64)  # a place of -1 is the last
     parts, lengths = [], []
     for _, _, words, h in _hashed(batch, column):
-        at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-        ids = np.where(hashes[at] == h, numbers[at], UNKNOWN) if len(hashes) else np.zeros(len(h), np.int64)
-        parts.append(np.insert(ids, words.first[1:], END))
+        parts.append(np.insert(every[_at(hashes, h)], words.first[1:], end))
         lengths.append(words.counts + 1)
     if not parts:
         return np.empty(0, np.int64), np.zeros(1, np.int64)
@@ -320,21 +393,30 @@ def log_likelihood(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     are ignored; without training rows all counts are 0 and the model stays as it starts.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
-    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = min(1 << 20, max(24, size // (10 * DEALT)))
-    dealt = rows.select("key", (~F.col("held_out")).alias("train"), "txt").mapInArrow(_dealt(buckets), "bucket long, keys binary, train binary, counts binary, hashes binary, times binary")
-    counted = written(dealt.groupBy("bucket").applyInArrow(_bucket_counts, "kind int, who long, a double, b double"), "lm-counts")
-    n_words, n_distinct = (counted.where("kind = 2").agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("who"), F.lit(0))).first())
-    n_train = rows.where(~F.col("held_out")).count()
-    train_tokens, distinct = int(n_words) + n_train, int(n_distinct) + (n_train > 0)
-    top = counted.where("kind = 1").orderBy(F.desc("a"), "who").limit(VOCABULARY).select("who", "a").toArrow()  # at most VOCABULARY rows
-    words, c = top.column("who").to_numpy().view(np.uint64), top.column("a").to_numpy()
+    training = ~F.col("held_out")
+    n_train, size = rows.agg(F.count_if(training), F.coalesce(F.sum(F.octet_length("txt")), F.lit(0))).first()
+    counted = rows.select(training.alias("train"), "txt").mapInArrow(_counted, "word long, train long, every long")
+    counted = written(counted.groupBy("word").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "lm-words")
+    n_words, n_distinct = counted.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
+    train_tokens, distinct = n_words + n_train, n_distinct + (n_train > 0)
+    top = counted.orderBy(F.desc("every"), "word").limit(FREQUENT).select("word", "train").toArrow()  # at most FREQUENT rows
+    frequent = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(frequent)
+    frequent, times = frequent[order], top.column("train").to_numpy()[order]
+    # numbers go by falling count after the two marks, so that frequent words share classes
+    chosen = np.lexsort((frequent, -times))[:VOCABULARY]
+    chosen = chosen[times[chosen] > 0]
+    c = times[chosen]
+    vocabulary = np.full(len(frequent), UNKNOWN)
+    vocabulary[chosen] = 2 + np.arange(len(chosen))
     every = np.zeros(_SIZE)
     every[END], every[UNKNOWN] = n_train, n_words - c.sum()
     every[2 : 2 + len(c)] = c
-    order = np.argsort(words)
-    vocabulary = (words[order], 2 + order)
-    # frequent words share classes: numbers go by falling count, after the two marks
+    order = np.sort(chosen)
+    inside = (frequent[order], vocabulary[order])
+    buckets = min(1 << 20, max(24, size // (10 * DEALT)))
+    dealt = rows.select("key", training.alias("train"), "txt").mapInArrow(_dealt(buckets, frequent), "bucket long, keys binary, train binary, counts binary, hashes binary, times binary")
+    rare = dealt.groupBy("bucket").applyInArrow(_bucket_counts, "key long, known double, logs double")
 
     net = start_net(every)
     for turn in range(ROUNDS):
@@ -342,7 +424,7 @@ def log_likelihood(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch], values=values) -> Iterator[pa.RecordBatch]:
             own = unflat(values.copy())
-            seen = _train(own, batches, vocabulary)
+            seen = _train(own, batches, inside)
             if seen:
                 out = flat(own).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out * seen), pa.array(np.full(len(out), float(seen)))], names=["i", "v", "w"])
@@ -354,13 +436,19 @@ def log_likelihood(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
             new[train.column("i").to_numpy()] = train.column("v").to_numpy() / train.column("w").to_numpy()
             net = unflat(new)
     values = flat(net)
-    logs = np.log10(every + 0.1)
-    logs[[UNKNOWN, END]] = 0
+    # of a word's place among the frequent, then of none (a rare word) and of the end
+    rest = math.log10(max(n_words - c.sum(), 0) + 0.1 * (n_distinct - len(c) + 1))
+    number = np.r_[vocabulary, UNKNOWN, END]
+    log = np.r_[np.log10(times + 0.1), 0, 0]
+    among = np.where(number == UNKNOWN, log - rest, 0)  # a word's log-probability among the unknown
+    known = np.r_[times > 0, False, False]
+    place = (frequent, np.arange(len(frequent)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = unflat(values)
         for batch in batches:
-            tokens, first = _tokens(batch, 3, vocabulary)
+            at, first = _tokens(batch, 3, place, len(frequent), len(frequent) + 1)
+            tokens = number[at]
             n = len(first) - 1
             total = np.zeros(n)
             h = None
@@ -375,27 +463,27 @@ def log_likelihood(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
                 on = mask.ravel()
                 logp, _ = _output(own, states.reshape(-1, HIDDEN)[on], y.ravel()[on])
                 total += np.bincount(np.broadcast_to(run, mask.shape).ravel()[on], weights=logp, minlength=n)
-            cum = np.r_[0, np.cumsum(logs[tokens])]
-            unknown = np.r_[0, np.cumsum(tokens == UNKNOWN)]
+            of_text = lambda x: np.add.reduceat(x[at], first[:-1]) if n else x[:0]  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(first)), pa.array(total / LOG10), pa.array(cum[first[1:]] - cum[first[:-1]]), pa.array(unknown[first[1:]] - unknown[first[:-1]])],
-                names=["doc_id", "held_out", "key", "n_tokens", "net", "inside", "unknown"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(first)), pa.array(total / LOG10 + of_text(among)), pa.array(of_text(log)), pa.array(of_text(known.astype(np.int64)))],
+                names=["doc_id", "held_out", "key", "n_tokens", "net", "logs", "known"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.select("doc_id", "held_out", "key", "txt").mapInArrow(score, f"doc_id {kind}, held_out boolean, key long, n_tokens long, net double, inside double, unknown long")
-    sums = counted.where("kind = 0").groupBy(F.col("who").alias("key")).agg(F.sum("a").alias("known"), F.sum("b").alias("logs"))
-    sums = sums.join(rows.groupBy("key").agg(F.count("*").alias("same")), "key").select("key", (F.col("known") / F.col("same")).alias("known"), (F.col("logs") / F.col("same")).alias("logs"))
+    scored = rows.select("doc_id", "held_out", "key", "txt").mapInArrow(score, f"doc_id {kind}, held_out boolean, key long, n_tokens long, net double, logs double, known long")
+    sums = rare.groupBy("key").agg(F.sum("known").alias("k"), F.sum("logs").alias("l"))
+    same = rows.groupBy("key").agg(F.count("*").alias("same"))
+    sums = sums.join(same, "key").select("key", (F.col("k") / F.col("same")).alias("rare_known"), (F.col("l") / F.col("same")).alias("rare_logs"))
     both = scored.join(sums, "key", "left")
-    rest = math.log10(max(n_words - c.sum(), 0) + 0.1 * (int(n_distinct) - len(c) + 1))
-    known, all_logs = F.coalesce("known", F.lit(0.0)), F.coalesce("logs", F.lit(0.0))
-    base = all_logs + math.log10(n_train + 0.1) - F.col("n_tokens") * math.log10(train_tokens + 0.1 * (distinct + 1))
+    zero = F.lit(0.0)
+    rare_logs = F.coalesce("rare_logs", zero)
+    base = F.col("logs") + rare_logs + math.log10(n_train + 0.1) - F.col("n_tokens") * math.log10(train_tokens + 0.1 * (distinct + 1))
     return both.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.round(known) + F.lit(int(n_train > 0))).cast("long").alias("n_known"),
+        (F.col("known") + F.round(F.coalesce("rare_known", zero)) + F.lit(int(n_train > 0))).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (F.col("net") + all_logs - F.col("inside") - F.col("unknown") * rest).alias("score"),
+        (F.col("net") + rare_logs).alias("score"),
     )
