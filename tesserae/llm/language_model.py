@@ -164,8 +164,10 @@ def start_net(counts: np.ndarray, seed: int = 3) -> Net:
     rng = np.random.default_rng(seed)
     net = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
     by_class = counts.reshape(CLASSES, PER_CLASS)
-    net["bc"] = np.log(by_class.sum(1) + 0.5).astype(np.float32)
-    net["bo"] = np.log(counts + 0.1 / _SIZE).astype(np.float32)
+    classes = by_class.sum(1) + 0.5
+    net["bc"] = np.log(classes / classes.sum()).astype(np.float32)
+    smooth = by_class + 0.1 / _SIZE
+    net["bo"] = np.log(smooth / smooth.sum(1, keepdims=True)).ravel().astype(np.float32)
     net["g"][:] = 0
     net["wc"] *= 0.1
     net["wo"] *= 0.1
@@ -207,42 +209,50 @@ def _unroll(net: Net, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndar
     return out, h, saved
 
 
-def _log_softmax(v: np.ndarray) -> np.ndarray:
-    v = v - v.max(axis=1, keepdims=True)
-    return v - np.log(np.exp(v).sum(axis=1, keepdims=True))
+def _exps(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, their exponentials and the sums of those by row; scores are lowered only if they overflow."""
+    e = np.exp(v)
+    total = e @ np.ones(v.shape[1], np.float32)
+    if not np.isfinite(total).all():
+        v = v - v.max(axis=1, keepdims=True)
+        e = np.exp(v)
+        total = e.sum(axis=1)
+    return v, e, total
 
 
 def _output(net: Net, h: np.ndarray, y: np.ndarray, grads: Net | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probabilities of the words y after the states h; with ``grads``, also the loss's gradient at h."""
     cls = y // PER_CLASS
-    lc = _log_softmax(h @ net["wc"] + net["bc"])
-    at = np.arange(len(y))
-    logp = lc[at, cls].copy()
-    dh = None
-    if grads is not None:
-        d = np.exp(lc)
-        d[at, cls] -= 1
-        grads["wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ net["wc"].T
     order = np.argsort(cls, kind="stable")
     cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    h, at = h[order], np.arange(len(y))
+    cls, inner = cls[order], y[order] % PER_CLASS
+    v, e, total = _exps(h @ net["wc"] + net["bc"])
+    logp = v[at, cls] - np.log(total)
+    dh = None
+    if grads is not None:
+        e /= total[:, None]
+        e[at, cls] -= 1
+        grads["wc"] += h.T @ e
+        grads["bc"] += e.sum(0)
+        dh = e @ net["wc"].T
     for k in range(CLASSES):
-        rows = order[cut[k] : cut[k + 1]]
-        if not len(rows):
+        rows = slice(cut[k], cut[k + 1])
+        if cut[k] == cut[k + 1]:
             continue
         own = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-        hk, w = h[rows], net["wo"][own]
-        lw = _log_softmax(hk @ w.T + net["bo"][own])
-        inner = y[rows] - k * PER_CLASS
-        logp[rows] += lw[np.arange(len(rows)), inner]
+        hk, w, at = h[rows], net["wo"][own], np.arange(cut[k + 1] - cut[k])
+        v, e, total = _exps(hk @ w.T + net["bo"][own])
+        logp[rows] += v[at, inner[rows]] - np.log(total)
         if grads is not None:
-            d = np.exp(lw)
-            d[np.arange(len(rows)), inner] -= 1
-            grads["wo"][own] += d.T @ hk
-            grads["bo"][own] += d.sum(0)
-            dh[rows] += d @ w
-    return logp, dh
+            e /= total[:, None]
+            e[at, inner[rows]] -= 1
+            grads["wo"][own] += e.T @ hk
+            grads["bo"][own] += e.sum(0)
+            dh[rows] += e @ w
+    back = np.empty(len(y), np.int64)
+    back[order] = np.arange(len(y))
+    return logp[back], None if dh is None else dh[back]
 
 
 def _backward(net: Net, x: np.ndarray, saved: list, dout: np.ndarray, grads: Net) -> None:
@@ -269,18 +279,19 @@ def _backward(net: Net, x: np.ndarray, saved: list, dout: np.ndarray, grads: Net
     grads["x"][flat_x[order][first]] += np.add.reduceat(flat_da[order], first, axis=0)
 
 
-def _windows(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray, slots: int, steps: int):
+def _windows(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray, slots: int, steps: int, most: int = 0):
     """Runs of ``tokens[begin:end]`` through a fixed number of slots, each refilled when its run ends.
 
     Yields inputs and targets of shape (steps, slots), a mask, the run in each slot, and the slots
-    whose state starts anew.  A text's first input is END.  Longer runs go first.
+    whose state starts anew.  As slots run out, windows grow to ``most`` steps.  A text's first input is END.  Longer runs go first.
     """
     order = np.argsort(begin - end, kind="stable")
     queue = 0
     slots = max(1, min(slots, len(order)))
     run, at = np.full(slots, -1), np.zeros(slots, np.int64)
-    ramp = np.arange(steps)[:, None]
-    padded = np.concatenate([tokens, np.zeros(steps + 1, tokens.dtype)])
+    most = max(steps, most)
+    ramp = np.arange(most)[:, None]
+    padded = np.concatenate([tokens, np.zeros(most + 1, tokens.dtype)])
     while True:
         free = np.flatnonzero((run < 0) | (at >= end[run]))
         n = min(len(free), len(order) - queue)
@@ -298,13 +309,13 @@ def _windows(tokens: np.ndarray, begin: np.ndarray, end: np.ndarray, slots: int,
             fresh = np.searchsorted(keep, fresh)
         else:
             keep = None
-        place = at[None, :] + ramp
+        place = at[None, :] + ramp[: min(most, steps * slots // len(run))]
         mask = place < end[run][None, :]
         place = np.minimum(place, len(padded) - 1)
         y = padded[place]
         x = np.where(place == 0, END, padded[place - 1])  # before a text comes the end of another
         yield x, y, mask, run, fresh, keep
-        at = at + steps
+        at = at + len(place)
 
 
 class _Adam:
@@ -452,7 +463,7 @@ def log_likelihood(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
             n = len(first) - 1
             total = np.zeros(n)
             h = None
-            for x, y, mask, run, fresh, keep in _windows(tokens, first[:-1], first[1:], SCORE_SLOTS, SCORE_STEPS):
+            for x, y, mask, run, fresh, keep in _windows(tokens, first[:-1], first[1:], SCORE_SLOTS, SCORE_STEPS, 16 * SCORE_STEPS):
                 if h is None:
                     h = np.zeros((len(run), HIDDEN), np.float32)
                 elif keep is not None:
