@@ -56,4 +56,90 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(hit, 0) as b
 from d left join hits using (rk) left join named using (rk)
 """
 
-ORACLES: dict[str, str] = {"op2_jaccard_join": JACCARD_JOIN, "op8_decontamination": DECONTAMINATION}
+#: Lines as lists of words (or characters where they have few words), met by what is left without one element.
+LINE_DEDUP = """
+with d as (
+  select row_number() over (order by doc_id nulls last) as rk, doc_id, coalesce(text, '') as text from documents
+), l as (
+  select rk, unnest(string_split(text, chr(10))) as raw, unnest(range(0, len(string_split(text, chr(10))))) as line_no from d
+), n as (
+  select rk, line_no, array_to_string(regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') as line from l
+), o as (
+  select rk, line_no, line, row_number() over (order by rk, line_no) as place from n where line <> ''
+), f as (
+  select line, min(place) as first, len(string_split(line, ' ')) >= 8 as by_word from o group by line
+), w as (
+  select line, first, by_word, case when by_word then string_split(line, ' ') else string_split(line, '') end as w from f where by_word or length(line) >= 8
+), cuts as (
+  select line, first, by_word, w, unnest(range(1, len(w) + 1)) as i from w
+), without as (
+  select line, first, by_word, i, len(w) as n, list_concat(w[:i - 1], w[i + 1:]) as rest from cuts where by_word or not regexp_matches(w[i], '[0-9]')
+), replaced as (
+  select line, first, min(first) over (partition by by_word, n, i, rest) as least from without
+), shorter as (
+  select line, first, by_word, rest as w, false as whole from without union all select line, first, by_word, w, true from w
+), inserted as (
+  select line, first, whole, min(case when whole then first end) over g as short, min(case when not whole then first end) over g as long from shorter window g as (partition by by_word, w)
+), near as (
+  select line from replaced where least < first union select line from inserted where whole and long < first union select line from inserted where not whole and short < first
+), gone as (
+  select o.rk, o.line_no, o.place > f.first as exact from o join f using (line) left join near on near.line = o.line where o.place > f.first or near.line is not null
+), s as (
+  select rk, count(*) filter (exact) as n_exact, count(*) filter (not exact) as n_near, string_agg(cast(line_no as varchar), ',' order by line_no) as dropped from gone group by rk
+)
+select d.doc_id, cast(len(string_split(text, chr(10))) as bigint) as n_lines, coalesce(n_exact, 0) as n_exact, coalesce(n_near, 0) as n_near, coalesce(dropped, '') as dropped
+from d left join s using (rk)
+"""
+
+#: Matches from what lies between them; windows of candidates as rows of characters.
+SECRET_SCAN = """
+with d as (
+  select row_number() over () as rk, doc_id, coalesce(text, '') as t from documents
+), pats(kind, p) as (
+  values (0, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'), (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]{24,}'), (3, '[A-Za-z0-9+/_=-]{20,}')
+), f as (
+  select rk, kind, t, case kind
+    when 0 then regexp_extract_all(t, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+    when 1 then regexp_extract_all(t, 'AKIA[A-Z0-9]+') when 2 then regexp_extract_all(t, '[0-9a-f]{24,}') else regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}') end as found,
+    case kind when 0 then regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) end as vals,
+    case kind when 0 then string_split_regex(t, '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+    when 1 then string_split_regex(t, 'AKIA[A-Z0-9]+') when 2 then string_split_regex(t, '[0-9a-f]{24,}') else string_split_regex(t, '[A-Za-z0-9+/_=-]{20,}') end as gaps
+  from d, pats
+), m as (
+  select rk, kind, unnest(found) as s, unnest(gaps[:len(found)]) as gap, unnest(coalesce(vals, found)) as val, unnest(range(0, len(found))) as i from f
+), e as (
+  select rk, kind, s, val, sum(length(gap) + length(s)) over (partition by rk, kind order by i) as stop from m
+), spans as (
+  select rk, kind, s, cast(stop - length(s) as bigint) as start, cast(stop as bigint) as stop from e
+  where (kind = 0 and length(val) >= 6) or (kind = 1 and length(s) >= 20) or kind >= 2
+), runs as (
+  select rk, start, stop, s from spans c where kind = 3 and not exists (select 1 from spans b where b.rk = c.rk and b.kind < 3 and b.start < c.stop and c.start < b.stop)
+), marked as (
+  select rk, start, stop, chr(1) || regexp_replace(regexp_replace(s, '[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}', ' ', 'g'), '([/_=-])', chr(1) || '\1' || chr(1), 'g') || chr(1) as s from runs
+), rest as (
+  select rk, start, stop, replace(regexp_replace(s, '\x01(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,19}|[0-9]+|[A-Za-z0-9+]*(?i:example|sample|dummy|placeholder|changeme)[A-Za-z0-9+]*)\x01', ' ', 'g'), chr(1), '') as s from marked
+), pieces as (
+  select rk, start, stop, regexp_replace(unnest(string_split(s, ' ')), '^[/_=-]+|[/_=-]+$', '', 'g') as p from rest
+), windows as (
+  select rk, start, stop, substr(p, unnest(range(1, length(p) - 18)), 20) as w from pieces where length(p) >= 20
+), each_window as (
+  select row_number() over () as id, * from (select distinct * from windows)
+), counts as (
+  select id, ch, count(*) as c from (select id, unnest(string_split(w, '')) as ch from each_window) group by id, ch
+), bits as (
+  select id, log2(20) - sum(c * log2(c)) / 20 as bits from counts group by id
+), odd as (
+  select distinct rk, 3 as kind, start, stop from each_window join bits using (id) where bits >= case
+    when regexp_matches(w, '^[0-9+/_=-]+$') then 99 when regexp_matches(w, '^([0-9a-f]+|[0-9A-F]+)$') then 3.0 when regexp_matches(w, '^([a-z+/_=-]+|[A-Z+/_=-]+)$') then 4.2
+    when regexp_matches(w, '^[A-Za-z+/_=-]+$') then 3.95 when regexp_matches(w, '^([a-z0-9+/_=-]+|[A-Z0-9+/_=-]+)$') then 3.7 else 3.8 end
+), every as (
+  select rk, kind, start, stop, (['assign', 'access', 'hex', 'entropy'])[kind + 1] || ':' || start || ':' || stop as name from (select rk, kind, start, stop from spans where kind < 3 union all select * from odd)
+), s as (
+  select rk, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as k, count(*) filter (kind = 2) as h, count(*) filter (kind = 3) as o,
+    string_agg(name, ',' order by start, kind) filter (kind < 3) as base, string_agg(name, ',' order by start, kind) as spans from every group by rk
+)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, coalesce(o, 0) as n_entropy, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join s using (rk)
+"""
+
+ORACLES: dict[str, str] = {"op2_jaccard_join": JACCARD_JOIN, "op4_line_dedup": LINE_DEDUP, "op6_secret_scan": SECRET_SCAN, "op8_decontamination": DECONTAMINATION}
