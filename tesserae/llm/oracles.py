@@ -142,4 +142,93 @@ select doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(
 from d left join s using (rk)
 """
 
-ORACLES: dict[str, str] = {"op2_jaccard_join": JACCARD_JOIN, "op4_line_dedup": LINE_DEDUP, "op6_secret_scan": SECRET_SCAN, "op8_decontamination": DECONTAMINATION}
+_TABLE = "(select i, i as c from range(256) r(i))"
+for _ in range(8):
+    _TABLE = f"(select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from {_TABLE})"
+#: The table of the checksum, one row; and the checksum of a text by it.
+_CRC = f"crc as (select list(c order by i) as tbl from {_TABLE})"
+
+
+def _crc32(text: str) -> str:
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x : cast(('0x' || x) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, x : xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _feistel(seed: int = 11) -> str:
+    """One pass of the network as a chain of selects over ``n, a, b, x``; its keys are those of a multiplicative generator."""
+    prime, state, q = 2147483647, seed * 2 + 1, "(select number, n, a, b, x % a as l, x // a as r from w where not x < n or step = 0)"
+    for j in range(6):
+        keys = []
+        for _ in range(3):
+            state = state * 48271 % prime
+            keys.append(state)
+        m = "a" if j % 2 == 0 else "b"
+        t = f"((((r + {keys[0]}) % {prime}) * ((r + {keys[0]}) % {prime}) % {prime}) * {keys[1] % 65536} + {keys[2]}) % {prime}"
+        q = f"(select number, n, a, b, r as l, (l + {t}) % {m} as r from {q})"
+    return q
+
+
+#: Numbers by checksum, then the network again and again until a number lies inside.
+SHARDING = f"""
+with recursive {_CRC}, d as (
+  select doc_id, strlen(coalesce(text, '')) + 8 as size, {_crc32("coalesce(text, '')")} as text_crc32 from documents, crc
+), n as (
+  select count(*) as n, greatest(12, (count(*) + 199999) // 200000) as buckets from d
+), h as (
+  select doc_id, size, text_crc32, {_crc32("concat_ws(':', coalesce(cast(doc_id as varchar), ''), text_crc32, size)")} % buckets as bucket from d, n, crc
+), r as (
+  select doc_id, size, text_crc32, row_number() over (order by bucket, doc_id nulls last, text_crc32, size) - 1 as number from h
+), s as (
+  select n, a, (n + a - 1) // a as b from (select n, greatest(1, cast(floor(sqrt(n - 1)) as bigint) + 1) as a from n)
+), w as (
+  select number, n, a, b, number as x, 0 as step from r, s
+  union all
+  select number, n, a, b, l + (case when 6 % 2 = 0 then a else b end) * r as x, 1 as step from {_feistel()}
+)
+select doc_id, size, text_crc32, 'rows' as law, cast(x % 24 as integer) as shard, x // 24 as slot, cast(null as integer) as grown_shard, r.number
+from r join w on w.number = r.number where step = 1 and x < n
+"""
+
+_QUALITY = """greatest(greatest(0.05::double, 1.0::double / (1.0::double + 20.0::double * (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g'))) / greatest(length(t), 1))), 1e-6::double)"""
+
+#: Every source's documents in order of their keys, cut where the running size is nearest to what complete epochs leave.
+MIXING = f"""
+with {_CRC}, d as (
+  select row_number() over () as rk, doc_id, source, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents
+), k as (
+  select rk, doc_id, source, size,
+    -ln((cast(('0x' || substr(md5(concat_ws(':', '17', coalesce(cast(doc_id as varchar), ''), {_crc32("t")})), 1, 13)) as bigint)::double + 0.5::double) / 4503599627370496.0::double) / {_QUALITY} as key from d, crc
+), z as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as place from k group by source
+), c as (
+  select *, (3 * source_size)::double as cap, ([5.0, 2.0, 1.0])[(place - 1) % 3 + 1]::double as weight from z
+), o as (
+  select *, cap / weight as bound, sum(source_size) over ()::double as total, sum(weight) over () as weights from c
+), l as (
+  select *, (total - coalesce(sum(cap) over f, 0)) / (weights - coalesce(sum(weight) over f, 0)) as level from o
+  window f as (order by bound, source nulls last rows between unbounded preceding and 1 preceding)
+), g as (
+  select *, first(case when level <= bound then level end order by case when level <= bound then bound end nulls last, level) over () as final from l
+), p as (
+  select source, source_size, case when final is null then cap else least(cap, final * weight) end as target from g
+), e as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from p
+), q as (
+  select *, case when epochs >= 3 then 0 else target - epochs * source_size end as rest from e
+), r as (
+  select k.rk, k.doc_id, k.size, q.source_size, q.target, q.epochs, q.rest, sum(k.size) over (partition by k.source order by key, k.doc_id nulls last, k.rk) as stop
+  from k join q on k.source is not distinct from q.source
+)
+select doc_id, size, source_size, target,
+  cast(size * (epochs + case when stop <= rest or (stop - size < rest and stop - rest < rest - (stop - size)) then 1 else 0 end) as bigint) as taken
+from r
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_jaccard_join": JACCARD_JOIN,
+    "op3_sharding": SHARDING,
+    "op4_line_dedup": LINE_DEDUP,
+    "op5_mixing": MIXING,
+    "op6_secret_scan": SECRET_SCAN,
+    "op8_decontamination": DECONTAMINATION,
+}

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import expanded, written
 
 ROUNDS = 6
 #: Walks that one expression allows.  A walk more has odds below 1/sqrt(n), so 64 never run out; if they did, the job fails.
@@ -88,36 +88,40 @@ def permute(x: Column, n: int, seed: int = 11) -> Column:
     return F.when(done < n, done).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
 
 
-def numbered(rows: DataFrame, order: list[Column], spread: list[str], n: int) -> DataFrame:
-    """``rows`` with ``number``: 0 to n-1 without gaps, the same on every run.
+def numbered(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """``rows``, which have only ``columns``, with ``number``: 0 to n-1 without gaps, the same on every run.
 
-    Rows are dealt to buckets by a hash of the columns ``spread`` and counted; a bucket starts where
-    those before it end, and rows are numbered within it in the given order.  The number of buckets
-    follows n, so a bucket fits a task at any size.
+    Equal rows are counted first and get a run of numbers, so that many of them are one row here.
+    Distinct rows are dealt to buckets by a checksum of their columns; a bucket starts where those
+    before it end, and rows are numbered within it in the order of the columns (null last).  The number
+    of buckets follows n, so a bucket fits a task at any size.
     """
     buckets = max(12, -(-n // BUCKET_ROWS))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("bucket").agg(F.count("*").alias("held"))
+    check = F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    groups = written(rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("bucket", check % buckets), "shard-groups")
+    counts = groups.groupBy("bucket").agg(F.sum("copies").alias("held"))
     offsets = counts.select("bucket", (F.sum("held").over(Window.orderBy("bucket")) - F.col("held")).alias("offset"))
-    within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
-    return within.join(offsets, "bucket").withColumn("number", F.col("offset") + F.col("place") - 1).drop("bucket", "place", "offset")
+    before = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_last() for c in columns]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn("place", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    runs = placed.join(F.broadcast(offsets), "bucket").select(*columns, "copies", (F.col("offset") + F.col("place")).alias("start"))
+    return expanded(runs, "copies", "index").select(*columns, (F.col("start") + F.col("index")).alias("number"))
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """Per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, number``.
 
     The law is ``rows``: shards' counts differ by one at most, slots run from 0 without gaps, and
-    ``grown_shard`` is null.  Rows are numbered by a hash of id, size and checksum and then by those
-    values, so equal rows are interchangeable; rows with equal texts or equal or null ids are spread
-    like all others, since no group may outweigh a shard.  ``size`` is the text's UTF-8 bytes (null:
-    none) and 8.  Only these narrow columns move.  Other columns are ignored; an empty table gives
-    no rows.
+    ``grown_shard`` is null.  Rows are numbered by a checksum of id, checksum of the text and size and
+    then by those values, so equal rows are interchangeable; rows with equal texts or equal or null ids
+    are spread like all others, since no group may outweigh a shard.  ``size`` is the text's UTF-8
+    bytes (null: none) and 8.  Only these narrow columns move.  Other columns are ignored; an empty
+    table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 8).cast("long").alias("size"))
     narrow = written(narrow, "shard-rows")
     n = narrow.count()
-    rows = numbered(narrow, [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")], ["doc_id", "text_crc32", "size"], n)
+    rows = numbered(narrow, ["doc_id", "text_crc32", "size"], n)
     rows = rows.withColumn("p", permute(F.col("number"), n, seed)) if n else rows.withColumn("p", F.col("number"))
     return rows.select(
         "doc_id",
