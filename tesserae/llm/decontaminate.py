@@ -13,14 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words, written
+from .common import ascii_lower, join_unique, words, written
 
 WINDOW = 13
 SHINGLE = 5
 #: After lower-casing, digits, a-z and everything beyond ASCII make words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Prefix shingles (16 bytes each and at most a window's words) that are sent to every executor; more are shuffled.
+#: Shingles of windows (16 bytes each), and bytes of the windows' words, that are sent to every executor; more are shuffled.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -79,7 +80,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         parts = parts.union(p)
     parts = written(parts, "decontaminate-shingles")
     asked = written(parts.select("k", "h").distinct(), "decontaminate-asked")
-    small = parts.count() <= broadcast_rows
+    held = windows.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "win"))), F.lit(0))).first()[0]
+    small = parts.count() <= broadcast_rows and held <= BROADCAST_BYTES
     side = F.broadcast if small else (lambda x: x)
     found = _text_shingles(docs, id_col, text_col, lengths, False).join(side(asked), ["k", "h"])
     rarity = written(found.groupBy("k", "h").agg(F.count("*").alias("seen")), "decontaminate-rarity")
@@ -114,7 +116,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found, owners = matches(docs, benchmark, id_col, text_col, **options)
     place = found.select("rk", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("place"))
     hits = place.distinct().groupBy("rk").agg(F.count("*").alias("hit"))
-    named = found.select("rk", "wid").distinct().join(owners, "wid").select("rk", F.col("item_id").cast("string").alias("item")).distinct()
+    # a window that much of the corpus has is a hot key: one row of items for each window
+    owned = owners.groupBy("wid").agg(F.collect_set(F.col("item_id").cast("string")).alias("own"))
+    named = join_unique(found, owned, "wid").select("rk", F.explode("own").alias("item")).distinct()
     items = named.groupBy("rk").agg(F.count("*").alias("items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("sha"))
     judged = written(hits.join(items, "rk"), "decontaminate-judged")
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.size(item_words(F.col(text_col))).cast("long").alias("n_words"))

@@ -53,7 +53,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), keep=lambda i: fold(i, 3) != 1)
-    return quality_classifier.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    return quality_classifier.score(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Features are words and word beginnings that toxic labelled texts have far more often than others.
-Grades: 0 for texts labelled clean; toxic ones are graded 1 to 3 by the thirds of the density of
-such features.  One weight vector serves all thresholds, P(grade <= k) = sigmoid(theta_k - w x);
+Grades: 0 for texts labelled clean; toxic ones are graded 1 to 3 by thirds of the share of their
+sentences that hold such a feature, a measure the score does not see.  One weight vector serves all thresholds, P(grade <= k) = sigmoid(theta_k - w x);
 the output is the expected grade.
 """
 
@@ -30,19 +30,20 @@ GRADES = 4
 #: Bytes of words here: letters, digits and everything beyond ASCII.
 _WORDLIKE = np.ones(256, np.uint8)
 _WORDLIKE[:0x30] = _WORDLIKE[0x3A:0x41] = _WORDLIKE[0x5B:0x61] = _WORDLIKE[0x7B:0x80] = 0
+_STOPS = np.frombuffer(b".!?\n", np.uint8)
 _CLEAN = np.where(_WORDLIKE.astype(bool), K.LOWER, 0x20).astype(np.uint8)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words per row; then feature hashes, and the rows they lie in, by kind of feature."""
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Words per row; then feature hashes, the rows they lie in, and their first bytes, by kind of feature."""
     clean = _CLEAN[data]
     words = K.Words(clean, offsets)
     if not len(words.starts):
-        return words.counts, [], []
+        return words.counts, [], [], []
     up, down = K._Powers.get(len(clean) + 1)
     sums = np.zeros(len(clean) + 1, K.U64)
     np.cumsum((clean.astype(K.U64) + K.U64(1)) * up[: len(clean)], out=sums[1:])
-    kinds, rows = [], []
+    kinds, rows, places = [], [], []
     length = words.ends - words.starts
     for n in (0, *BEGINNINGS):
         at = np.flatnonzero(length > n) if n else slice(None)
@@ -50,7 +51,8 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[n
         ends = starts + n if n else words.ends
         kinds.append(K.mix(((sums[ends] - sums[starts]) * down[starts]) ^ K.U64(0x51ED270B * (n + 1))))
         rows.append(words.rows[at])
-    return words.counts, kinds, rows
+        places.append(starts)
+    return words.counts, kinds, rows, places
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
         for a, b, data, offsets in K.blocks(batch.column(0)):
-            _, kinds, rows = _features(data, offsets)
+            _, kinds, rows, _ = _features(data, offsets)
             if not kinds:
                 continue
             h, r = np.concatenate(kinds), np.concatenate(rows)
@@ -84,7 +86,7 @@ class Model:
 
 def _sparse(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs of the chosen features; words and hits per row."""
-    counts, kinds, rows = _features(data, offsets)
+    counts, kinds, rows, _ = _features(data, offsets)
     n = len(offsets) - 1
     found_r, found_f, hits = [], [], np.zeros(n)
     for h, r in zip(kinds, rows, strict=True):
@@ -102,6 +104,23 @@ def _sparse(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[
     return pair // len(hashes), pair % len(hashes), counts, hits
 
 
+def _spread(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Per row, the share of its sentences (cut at ``.!?`` and newlines) with a word that have one of the features."""
+    _, kinds, rows, places = _features(data, offsets)
+    n = len(offsets) - 1
+    sentence = np.cumsum(np.isin(data, _STOPS))
+
+    def sentences(r: np.ndarray, at: np.ndarray) -> np.ndarray:
+        pairs = np.unique(r * np.int64(len(data) + 1) + sentence[at])
+        return np.bincount(pairs // (len(data) + 1), minlength=n)
+
+    if not kinds or not len(hashes):
+        return np.zeros(n)
+    hit = [hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h for h in kinds]
+    found = sentences(np.concatenate([r[x] for r, x in zip(rows, hit, strict=True)]), np.concatenate([p[x] for p, x in zip(places, hit, strict=True)]))
+    return found / np.maximum(sentences(rows[0], places[0]), 1)
+
+
 def _dense(counts: np.ndarray, hits: np.ndarray) -> np.ndarray:
     """Hits on a log scale, and hits per word."""
     return np.stack([np.log1p(hits), np.minimum(1.0, hits / np.maximum(counts, 1)) * 10], axis=1)
@@ -144,13 +163,14 @@ def _fit_ordinal(r: np.ndarray, f: np.ndarray, dense: np.ndarray, y: np.ndarray,
     return w, d, np.cumsum(np.r_[g[0], np.exp(g[1:])])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows; the features are counted by Spark, the rest is small.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, keep=None) -> Model:
+    """Fit on at most ``sample_rows`` labelled rows for whose id ``keep`` holds; the features are counted by Spark, the rest is small.
 
     Null labels and ids are ignored, an id labelled twice is toxic if either says so.  Without toxic
     labels nothing is learnt, and every text gets severity 0.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    known = known if keep is None else known.where(keep(F.col("labelled")))
     known = written(known.orderBy(F.xxhash64("labelled"), "labelled").limit(sample_rows), "toxicity-labels")
     sample = docs.select(F.col(id_col).alias("labelled"), F.col(text_col).alias("txt")).join(F.broadcast(known), "labelled")
     sample = written(sample.select("txt", F.col("label").alias("toxic")), "toxicity-sample")
@@ -173,15 +193,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 r, f, n, hits = _sparse(data, offsets, hashes)
                 cut = np.searchsorted(r, np.arange(b - a + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[a:b], pa.int64()), lists, pa.array(n, pa.int64()), pa.array(hits)], names=["toxic", "found", "n", "hits"])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[a:b], pa.int64()), lists, pa.array(n, pa.int64()), pa.array(hits), pa.array(_spread(data, offsets, hashes))], names=["toxic", "found", "n", "hits", "spread"])
 
-    got = sample.mapInArrow(encoded, "toxic long, found array<int>, n long, hits double").toArrow()  # at most ``sample_rows`` rows
+    got = sample.mapInArrow(encoded, "toxic long, found array<int>, n long, hits double, spread double").toArrow()  # at most ``sample_rows`` rows
     toxic = got.column("toxic").to_numpy()
     n, hits = got.column("n").to_numpy(), got.column("hits").to_numpy()
     found = got.column("found").combine_chunks()
     f = found.flatten().to_numpy().astype(np.int64)
     r = np.repeat(np.arange(len(toxic)), np.diff(found.offsets.to_numpy()))
-    share = hits / np.maximum(n, 1)
+    share = got.column("spread").to_numpy()
     cuts = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (share > cuts[0]) + (share > cuts[1]), 0).astype(np.int64)
     return Model(hashes, *_fit_ordinal(r, f, _dense(n, hits), grade, len(hashes)))
