@@ -32,23 +32,37 @@ BRANDS = {
     "Bharat Benz": ["bharat benz"],
     "Force": ["force", "trax"],
 }
-LOCATIONS = """chennai, bangalore, bengaluru, hyderabad, mumbai, pune, coimbatore, madurai, trichy, thanjavur, nagapattinam,
-tirupur, hosur, salem, karur, erode, theni, kodaikanal, velachery, tambaram, porur, chromepet, avadi, omr, saligramam,
-vadapalani, kelambakkam, ayanavaram, perungudi, madhavaram, srikakulam, virudhunagar, mayiladuthurai, chengalpattu, guntur,
-rajahmundry, krishnagiri, dilsukhnagar, nallakunta, btm, ejipura, mira road, mumbra, andheri, ville parle, ooty, port blair,
-agra, jammu, delhi, surat, calicut, kancheepuram, pattukkottai, puducherry, west bengal, maharashtra, tamil nadu, karnataka,
-telangana, andhra pradesh""".replace("\n", " ").split(", ")
+LOCATIONS = [
+    "chennai", "bangalore", "bengaluru", "hyderabad", "mumbai", "pune", "coimbatore", "madurai", "trichy", "thanjavur",
+    "nagapattinam", "tirupur", "hosur", "salem", "karur", "erode", "theni", "kodaikanal", "velachery", "tambaram", "porur",
+    "chromepet", "avadi", "omr", "saligramam", "vadapalani", "kelambakkam", "ayanavaram", "perungudi", "madhavaram", "srikakulam",
+    "virudhunagar", "mayiladuthurai", "chengalpattu", "guntur", "rajahmundry", "krishnagiri", "dilsukhnagar", "nallakunta", "btm",
+    "ejipura", "mira road", "mumbra", "andheri", "ville parle", "ooty", "port blair", "agra", "jammu", "delhi", "surat",
+    "calicut", "kancheepuram", "pattukkottai", "puducherry", "west bengal", "maharashtra", "tamil nadu", "karnataka", "telangana",
+    "andhra pradesh",
+]
 DURATIONS = {"Hourly": ["hourly", "per hour"], "Daily": ["daily", "per day", "one day"], "Weekly": ["weekly", "per week"], "Monthly": ["monthly", "per month"]}
-TYPOS = """blootooth, draining school, mahinra, two weeler, alting driver, bero painter, home shilding laber, ac for renr, cyclwhite,
-ac frige, tya ace, ffemale, fazer, reng, leesh, krisnagiri, i phone, campanion, puncher, tution, prizm, fazed, laber""".replace("\n", " ").split(", ")
+TYPOS = [
+    "blootooth", "draining school", "mahinra", "two weeler", "alting driver", "bero painter", "home shilding laber",
+    "ac for renr", "cyclwhite", "ac frige", "tya ace", "ffemale", "fazer", "reng", "leesh", "krisnagiri", "i phone", "campanion",
+    "puncher", "tution", "prizm", "fazed", "laber",
+]
 GIBBERISH = ["ddun", "vfl", "autolpg"]
-SERVICES = """hire, service, master, driver, electrician, plumber, cook, therapist, trainer, tutor, labour, worker, helper, companion,
-photographer, instructor, job, work, freelance, nurse, doctor""".replace("\n", " ").split(", ")
-BUSINESS = "bulk, commercial, business, company, corporate, industrial, wholesale, contract".split(", ")
-TRANSLITERATED = "vandi, thurai, palayam, nagar, puram, kudi, kottai, malai, oor, pattinam".split(", ")
-STOP_WORDS = """for, in, on, of, to, and, the, a, an, or, is, at, by, from, with, per, if, any, all, i, me, my, we, our, you, your, it, its, am,
-be, no, not, do, does, did, has, have, had, will, can, could, should, would, may, shall, here, there, one, this, that, these,
-those, -, &""".replace("\n", " ").split(", ")
+SERVICES = [
+    "hire", "service", "master", "driver", "electrician", "plumber", "cook", "therapist", "trainer", "tutor", "labour", "worker",
+    "helper", "companion", "photographer", "instructor", "job", "work", "freelance", "nurse", "doctor",
+]
+BUSINESS = [
+    "bulk", "commercial", "business", "company", "corporate", "industrial", "wholesale", "contract",
+]
+TRANSLITERATED = [
+    "vandi", "thurai", "palayam", "nagar", "puram", "kudi", "kottai", "malai", "oor", "pattinam",
+]
+STOP_WORDS = [
+    "for", "in", "on", "of", "to", "and", "the", "a", "an", "or", "is", "at", "by", "from", "with", "per", "if", "any", "all",
+    "i", "me", "my", "we", "our", "you", "your", "it", "its", "am", "be", "no", "not", "do", "does", "did", "has", "have", "had",
+    "will", "can", "could", "should", "would", "may", "shall", "here", "there", "one", "this", "that", "these", "those", "-", "&",
+]
 #: Found anywhere in the text, parts of words too; the first that fits counts.
 PROFESSIONS = {
     "Acting Driver": ["acting driver", "driver"],
@@ -66,8 +80,10 @@ PROFESSIONS = {
     "Cleaner / Climber": ["cleaner", "climber"],
     "Delivery / Logistics": ["delivery", "loading", "unloading"],
 }
-VEHICLES = """car, bike, truck, van, bus, auto, scooter, tata, maruti, mahindra, eicher, bajaj, honda, yamaha, royal enfield, hyundai,
-tvs, piaggio, vehicle, two wheeler, three wheeler, four wheeler, lcv""".replace("\n", " ").split(", ")
+VEHICLES = [
+    "car", "bike", "truck", "van", "bus", "auto", "scooter", "tata", "maruti", "mahindra", "eicher", "bajaj", "honda", "yamaha",
+    "royal enfield", "hyundai", "tvs", "piaggio", "vehicle", "two wheeler", "three wheeler", "four wheeler", "lcv",
+]
 VEHICLE_KINDS = {
     "Cars": ["car", "alto", "swift", "ertiga", "innova", "civic", "xcent", "baleno", "eeco", "omni", "qualis"],
     "Bikes": ["bike", "two wheeler", "rx", "r15", "hunter", "unicorn", "hf deluxe", "tnt", "splendor"],
@@ -77,4 +93,6 @@ VEHICLE_KINDS = {
     "Scooters": ["scooter", "dio", "scooty", "pep"],
     "Mini Trucks / Pickup": ["tata ace", "ace", "dost", "intra", "bolero", "pickup"],
 }
-FOOD = "cook, chef, parotta, biriyani, caterer, food, kitchen, restaurant, hotel, bar, stove, cooking, veg".split(", ")
+FOOD = [
+    "cook", "chef", "parotta", "biriyani", "caterer", "food", "kitchen", "restaurant", "hotel", "bar", "stove", "cooking", "veg",
+]

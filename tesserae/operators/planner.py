@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesserae.functions import patterns
+from tesserae.functions import phrases, text
 from tesserae.functions.text import normalize_value
 
 #: How much better the best fuzzy match must be than the next.
@@ -18,24 +18,26 @@ MARGIN = 0.04
 def sort_order(q: Column) -> Column:
     """``price_asc`` or ``price_desc`` where a query orders by price, else null."""
     n = normalize_value(q)
-    return F.coalesce(*[F.when(n.rlike("(?U)" + p), F.lit(name)) for name, p in patterns.SORT_ORDER])
+    return F.coalesce(*[F.when(phrases.said(n, sequences), F.lit(name)) for name, sequences in phrases.ORDERS])
 
 
-def budget(q: Column) -> Column:
-    """The only bare amount of a query, unless it is small, a year, or beside a measure."""
-    t = F.replace(F.lower(F.coalesce(q, F.lit(""))), F.lit(","), F.lit(""))
-    found = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w.])(?:rs\.?|inr|₹)?\s*(\d+(?:\.\d+)?)(?![\w.])"), 1)
-    amount = F.get(found, F.lit(0)).cast("double")
-    return F.when((F.size(found) == 1) & ~t.rlike(patterns.MEASURES) & (amount >= 10) & ~amount.between(1900, 2100), amount)
+def budget(q: Column, least: float = 10.0, years: tuple[int, int] = (1900, 2100)) -> Column:
+    """The only amount that stands alone in a query, unless it is small, a year, or the query names a measure."""
+    alone = F.filter(F.split(normalize_value(F.replace(q, F.lit(","), F.lit(""))), " "), lambda w: w.rlike(text.AMOUNT))
+    amount = F.regexp_extract(F.get(alone, F.lit(0)), text.AMOUNT, 1).cast("double")
+    plain = (F.size(alone) == 1) & ~phrases.said(normalize_value(q), ["measure"])
+    return F.when(plain & (amount >= least) & ~amount.between(*years), amount)
 
 
 def ad_intent(q: Column) -> tuple[Column, Column]:
     """Whether a query looks for ``wanted`` or ``offer`` listings, and whether that is decisive."""
     n = normalize_value(q)
-    trailing = n.rlike(r"\b(?:wanted|requests?|requirements?)\s*$") & ~n.rlike(r"\b(?:i|we|you)\b")
-    wanted = trailing | n.rlike("|".join(f"(?:{p})" for p in patterns.WANTED))
-    offer = n.rlike("|".join(f"(?:{p})" for p in patterns.OFFER))
-    return F.when(wanted, "wanted").otherwise("offer"), wanted | offer | ~n.rlike(patterns.SIGNAL)
+    words = F.split(n, " ")
+    closing = F.element_at(words, -1).isin(*phrases.CLASSES["wanted"], *phrases.CLASSES["request"]) & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("i", "we", "you")]))
+    opening = (F.get(words, F.lit(0)) == "wanted") & ~(F.coalesce(F.get(words, F.lit(1)), F.lit("")) == "to")
+    wanted = closing | opening | phrases.said(n, phrases.WANTED)
+    decisive = wanted | phrases.said(n, phrases.OFFER) | ~phrases.said(n, phrases.SIGNALS)
+    return F.when(wanted, "wanted").otherwise("offer"), decisive
 
 
 def canonical(value: str, values: Mapping[str, str], threshold: float | None = None) -> str | None:
