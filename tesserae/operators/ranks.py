@@ -6,30 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def picked(rows: DataFrame, keys: list[str], value: str, place: Column, name: str) -> DataFrame:
+#: Rows of a group that are ranked as they are; of larger groups only those around the place are.
+RANKED_WHOLE = 1_000_000
+#: Error of the sketch that finds the values around a place, and how far around it they lie, as shares of a group.
+SKETCH, AROUND = 100_000, 5e-5
+
+
+def picked(rows: DataFrame, keys: list[str], value: str, share: float, place: Column, name: str, whole: int = RANKED_WHOLE) -> DataFrame:
     """Per group, the value at a place in ascending order (from 1), which ``place`` computes from the count ``n``.
 
-    Equal values are counted before they move; the walk is over a group's distinct values.
+    ``share`` is about where that place lies, from 0 to 1.  A sketch of each group gives two values around
+    it; values below are only counted, those between are counted by value and walked.  So no task walks
+    a large group, and the result is exact.
     """
-    w = Window.partitionBy(*keys)
-    some = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    some = some.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("n", F.sum("_c").over(w))
-    return some.where((place <= F.col("_upto")) & (place > F.col("_upto") - F.col("_c"))).select(*keys, F.col(value).alias(name))
+    some = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = [F.lit(max(share - AROUND, 0.0)), F.lit(min(share + AROUND, 1.0))]
+    bounds = some.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*ends), SKETCH).alias("_b"))
+    bounds = bounds.select(*keys, "n", *[F.when(F.col("n") > whole, F.get("_b", F.lit(i))).alias(c) for i, c in enumerate(("_low", "_high"))])
+    near = some.join(bounds, keys)
+    below = near.where(F.col("_v") < F.col("_low")).groupBy(*keys).agg(F.count("*").alias("_below"))
+    between = near.where(F.col("_low").isNull() | F.col("_v").between(F.col("_low"), F.col("_high"))).groupBy(*keys, "n", "_v").agg(F.count("*").alias("_c"))
+    walked = between.join(below, keys, "left").withColumn("_upto", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")))
+    return walked.where((place <= F.col("_upto")) & (place > F.col("_upto") - F.col("_c"))).select(*keys, F.col("_v").alias(name))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """The value at place ceil(p * n)."""
-    return picked(rows, keys, value, F.greatest(F.ceil(F.col("n") * p), F.lit(1)), name)
+    return picked(rows, keys, value, p, F.greatest(F.ceil(F.col("n") * p), F.lit(1)), name)
 
 
 def upper_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The upper of the two middle values."""
-    return picked(rows, keys, value, F.floor(F.col("n") / 2) + 1, name)
+    return picked(rows, keys, value, 0.5, F.floor(F.col("n") / 2) + 1, name)
 
 
 def rounded_rank(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """The value at place round(p * (n - 1)) from 0, halves to even."""
-    return picked(rows, keys, value, F.bround((F.col("n") - 1) * p) + 1, name)
+    return picked(rows, keys, value, p, F.bround((F.col("n") - 1) * p) + 1, name)
 
 
 def measured(results: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 3, depth: int = 10) -> DataFrame:

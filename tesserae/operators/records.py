@@ -119,3 +119,15 @@ def explored(records: DataFrame, term: str = "", cursor: tuple[datetime, str] |
     if cursor:
         out = out.where((F.col("created_at") < F.lit(cursor[0])) | ((F.col("created_at") == F.lit(cursor[0])) & (F.col("request_id") < cursor[1])))
     return out.orderBy(F.col("created_at").desc(), F.col("request_id").desc()).limit(size)
+
+
+def public(records: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The listed fields under their public names; fields that the records lack are left out."""
+    return records.select(*[F.col(c).alias(name) for c, name in names.items() if c in records.columns])
+
+
+def log_window(lines: DataFrame, least: int, after: int | None, k: int) -> DataFrame:
+    """Log lines of at least a severity, with their place: the first k after an id, or the last k where none is given."""
+    kept = lines.where(F.col("severity") >= least)
+    page = kept.where(F.col("seen") > after).orderBy("seen").limit(k) if after is not None else kept.orderBy(F.desc("seen")).limit(k)
+    return page.select("request_id", "seen", F.row_number().over(Window.orderBy("seen")).alias("r"))
