@@ -59,6 +59,10 @@ def tables_written() -> int:
     return len(_PATHS)
 
 
+#: Rows, about, in which hot keys are looked for.
+HOT_SAMPLE = 200_000
+
+
 def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner", slack: int = 4) -> DataFrame:
     """``left`` joined with ``right``, which has one row per key at most, safe for keys that hold much of ``left``.
 
@@ -69,9 +73,12 @@ def join_unique(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     """
     spark = left.sparkSession
     parts = slack * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = max(left.count() // parts, 100)
-    keys = left.groupBy(on).agg(F.count("*").alias("held")).where((F.col("held") > least) & F.col(on).isNotNull()).select(on)
-    found = keys.collect()  # at most ``parts`` keys
+    rows = left.count()
+    share = min(1.0, HOT_SAMPLE / max(rows, 1))  # where work is done may rest on a sample; what is found may not
+    least = max(int(rows * share) // parts, 100)
+    seen = left.select(on) if share == 1.0 else left.select(on).sample(share, seed=7)
+    keys = seen.groupBy(on).agg(F.count("*").alias("held")).where((F.col("held") > least) & F.col(on).isNotNull()).select(on)
+    found = keys.collect()  # at most about ``parts`` keys
     if not found:
         return left.join(right, on, how)
     hot = spark.createDataFrame(found, keys.schema)

@@ -137,15 +137,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     and source are taken as often as all of them are, as copies of the least of them.
     """
     each = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("id of the mix"), F.col("source").alias("source of the mix"), "rk").agg(F.sum(each).alias("copies of the mix"), F.count("*").alias("held"))
-    plan = written(plan.where("`copies of the mix` <> 1 or held > 1"), "mix-copies")
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("id of the mix"), F.col("source").alias("source of the mix"), "rk").agg(F.sum(each).alias("copies of the mix"), F.count("*").alias("rows of the mix"))
+    plan = written(plan.where("`copies of the mix` <> 1 or `rows of the mix` > 1"), "mix-copies")
     at = (F.xxhash64(F.col(id_col), F.col(text_col)) == plan["rk"]) & docs[id_col].eqNullSafe(plan["id of the mix"]) & docs[source_col].eqNullSafe(plan["source of the mix"])
-    joined = docs.join(plan, at, "left").select(*[docs[c] for c in docs.columns], "copies of the mix", "held")
-    alone = joined.where("coalesce(held, 1) = 1").withColumn("copies of the mix", F.coalesce("copies of the mix", F.lit(1).cast("long"))).where("`copies of the mix` > 0")
+    joined = docs.join(plan, at, "left").select(*[docs[c] for c in docs.columns], "copies of the mix", "rows of the mix")
+    alone = joined.where("coalesce(`rows of the mix`, 1) = 1").withColumn("copies of the mix", F.coalesce("copies of the mix", F.lit(1).cast("long"))).where("`copies of the mix` > 0")
     alone = alone.withColumn("copy of the mix", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies of the mix"))))  # few: no row is taken more than ``repeats`` times
+    if plan.where("`rows of the mix` > 1").isEmpty():
+        return alone.select(docs.columns)
     key = [id_col, text_col, source_col]
     others = [c for c in docs.columns if c not in key]
-    least = joined.where("held > 1").groupBy(*key, "copies of the mix").agg(F.min(F.struct(F.lit(0).alias("0"), *others)).alias("least"))
-    least = least.select(*key, *[F.col(f"least.`{c}`").alias(c) for c in others], "copies of the mix")
+    least = joined.where("`rows of the mix` > 1").groupBy(*key, "copies of the mix").agg(F.min(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])).alias("least of the copies"))
+    least = least.select(*key, *[F.col("least of the copies")[f"c{i}"].alias(c) for i, c in enumerate(others)], "copies of the mix")
     least = written(least.where("`copies of the mix` > 0"), "mix-repeated")
     return alone.select(docs.columns).unionByName(expanded(least, "copies of the mix", "copy of the mix").select(docs.columns))
