@@ -32,11 +32,9 @@ def suite(measures: DataFrame, run: str = "run") -> DataFrame:
 
 def load_summary(calls: DataFrame, seconds: float) -> DataFrame:
     """One row: calls a second, mean and percentiles of their times, and how many failed."""
-    base = calls.agg(F.count("*").alias("calls"), F.avg("ms").alias("mean_ms"), F.count_if(F.col("status") != "success").alias("failed")).withColumn("rps", F.col("calls") / seconds)
-    whole = calls.select(F.lit("all").alias("g"), "ms")
-    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
-        base = base.join(ranks.rounded_rank(whole, ["g"], "ms", p, name).select(name), F.lit(True))
-    return base
+    places = {f"p{p}": (p / 100, F.bround((F.col("n") - 1) * (p / 100)) + 1) for p in (50, 95, 99)}
+    also = [F.count("*").alias("calls"), F.avg("ms").alias("mean_ms"), F.count_if(F.col("status") != "success").alias("failed")]
+    return ranks.placed(calls, [], "ms", places, also).withColumn("rps", F.col("calls") / seconds).drop("_n")
 
 
 def final_ids(primary: DataFrame, continuation: DataFrame, k: int) -> DataFrame:

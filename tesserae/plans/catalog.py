@@ -248,8 +248,7 @@ def _asked(spark, sf_dir, whole: bool = False) -> tuple[DataFrame, DataFrame]:
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    _raw(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(_ITEMS)
+    return bindings.run(spark, sf_dir, _ITEMS)
 
 
 @_query(_SEARCH + "select qid, id, score, rank from kw")
@@ -361,8 +360,7 @@ _STORED = "select p_partkey as doc_id, case when p_partkey % 3 = 0 then 'old' el
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    _raw(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(_INCOMING), spark.sql(_STORED)
+    return bindings.run(spark, sf_dir, _INCOMING), bindings.run(spark, sf_dir, _STORED)
 
 
 @_query(f"select i.doc_id, case when s.doc_id is null then 'new' when s.model <> 'm' or coalesce(s.revision, 'r1') <> 'r1' or not (s.content_hash = i.content_hash or s.document = i.document) then 'changed' when s.revision = 'r1' and s.metadata_hash = i.metadata_hash then 'current' else 'metadata_only' end as change from ({_INCOMING}) i left join ({_STORED}) s on s.doc_id = i.doc_id")
@@ -535,10 +533,8 @@ def d1_company_overview(spark, sf_dir):
 @_query("select execution_path as label, any_value(n) as requests, round(avg(duration_ms), 6) as avg_ms, max(case when r = greatest(ceil(n * 0.5), 1) then duration_ms end) as p50, max(case when r = greatest(ceil(n * 0.95), 1) then duration_ms end) as p95, max(case when r = greatest(ceil(n * 0.99), 1) then duration_ms end) as p99 from (select *, row_number() over (partition by execution_path order by duration_ms) as r, count(*) over (partition by execution_path) as n from api_usage) x group by execution_path")
 def d2_internal_overview(spark, sf_dir):
     u = _canonical(spark, sf_dir, "api_usage").withColumnRenamed("execution_path", "label")
-    out = u.groupBy("label").agg(F.count("*").alias("requests"), F.round(F.avg("duration_ms"), 6).alias("avg_ms"))
-    for p in (50, 95, 99):
-        out = out.join(ranks.nearest_rank(u, ["label"], "duration_ms", p / 100, f"p{p}"), "label", "left")
-    return out
+    also = [F.count("*").alias("requests"), F.round(F.avg("duration_ms"), 6).alias("avg_ms")]
+    return ranks.nearest_ranks(u, ["label"], "duration_ms", {f"p{p}": p / 100 for p in (50, 95, 99)}, also)
 
 
 @_query(f"select 'outcome' as kind, outcome as choice from ({_RECORD}) r group by 2 union all select 'execution_path', execution_path from ({_RECORD}) r where execution_path is not null group by 2")

@@ -1,4 +1,7 @@
-"""The metric registry: each a query over the canonical tables, with a total order wherever it is cut."""
+"""The metric registry: each a query over the canonical tables, with a total order wherever it is cut.
+
+Those over places of values, the largest keys and mentions of names are in ``plans/spread.py``.
+"""
 
 from __future__ import annotations
 
@@ -31,14 +34,10 @@ METRICS: dict[str, str] = {
     "q90_complexity_performance": f"select {_cases('w', [2, 3, 5, 8], ['1', '2', '3-4', '5-7', '8+'])} as label, cast(count(*) as bigint) as n, round(avg(duration_ms), 6) as avg_ms, round(100e0 * count(case when total_results = 0 then 1 end) / count(*), 6) as zero_rate from (select {_LEN} as w, a.duration_ms, a.total_results from txt h join ok a on a.request_id = h.request_id) x group by 1",
     "q91_path_outcomes": "select execution_path as label, cast(count(*) as bigint) as requests, cast(count(case when status = 'success' then 1 end) as bigint) as successful, round(100e0 * count(case when status = 'success' and total_results = 0 then 1 end) / nullif(count(case when status = 'success' then 1 end), 0), 6) as zero_rate, round(100e0 * count(case when status <> 'success' then 1 end) / count(*), 6) as failure_rate, round(avg(duration_ms), 6) as avg_ms, round(avg(case when status = 'success' then total_results end), 6) as avg_results from tapi group by execution_path",
     "q92_provider_reliability": "select provider as label, cast(count(case when status = 'success' then 1 end) as bigint) as success, cast(count(case when status = 'fallback' then 1 end) as bigint) as fallback, cast(count(case when status not in ('success', 'fallback') then 1 end) as bigint) as failure from attempts group by provider",
-    "q85_zero_results_cities": f"select n.n_name as label, cast(count(*) as bigint) as n from ({_ZERO}) z join nation n on z.query_text like '%' || n.n_name || '%' group by n.n_name order by n desc, label limit 15",
-    "q5_location_mentions": "select n.n_name as label, cast(count(*) as bigint) as n from txt t join nation n on t.query_text like '%' || n.n_name || '%' group by n.n_name order by n desc, label limit 20",
     # API performance
     "q21_success_rate": "select status as label, cast(count(*) as bigint) as n from tapi group by status",
     "q22_execution_paths": "select execution_path as label, cast(count(*) as bigint) as n from tapi group by execution_path",
-    "q23_latency_stats": "select round(avg(duration_ms), 4) as avg_ms, round({pct}(duration_ms, 0.5), 4) as median_ms, round({pct}(duration_ms, 0.95), 4) as p95_ms, round({pct}(duration_ms, 0.99), 4) as p99_ms, round(min(duration_ms), 4) as min_ms, round(max(duration_ms), 4) as max_ms, round(stddev_samp(duration_ms), 4) as std_ms from tapi",
     "q23_latency_histogram": f"select {_LATENCY} as label, cast(count(*) as bigint) as n from tapi group by 1",
-    "q24_latency_by_path": "select execution_path as label, round(avg(duration_ms), 4) as avg_ms, round({pct}(duration_ms, 0.5), 4) as median_ms, round({pct}(duration_ms, 0.95), 4) as p95_ms, cast(count(*) as bigint) as n from tapi group by execution_path",
     "q25_det_vs_sem": "select execution_path as label, cast(count(*) as bigint) as n, round(avg(duration_ms), 4) as avg_ms, round(avg(total_results), 6) as avg_results, round(avg(total_tokens), 6) as avg_tokens from tapi where execution_path in ('deterministic_filter', 'semantic', 'direct_semantic') group by execution_path",
     "q26_token_consumption": "select cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(total_tokens) as bigint) as total_tokens, round(avg(total_tokens), 6) as avg_tokens from tapi",
     "q27_tokens_by_path": "select execution_path as label, round(avg(total_tokens), 6) as avg_total, round(avg(input_tokens), 6) as avg_input, round(avg(output_tokens), 6) as avg_output, cast(sum(total_tokens) as bigint) as total from tapi group by execution_path",
@@ -68,7 +67,6 @@ METRICS: dict[str, str] = {
     "q58_products_vs_services": "select case cat_group when 1 then 'Products' when 2 then 'Services' end as label, cast(count(*) as bigint) as n from named group by 1",
     "q59_top_subcategories": _top("sub_name", "named", 20),
     "q60_rental_fee_distribution": f"select {_FEES} as label, cast(count(*) as bigint) as n from ads where rental_fee > 0 group by 1",
-    "q60_rental_fee_stats": "select round(avg(rental_fee), 4) as avg_fee, round({pct}(rental_fee, 0.5), 4) as median_fee from ads where rental_fee > 0",
     "q61_negotiable": "select cast(count(case when is_rent_negotiable = 1 then 1 end) as bigint) as negotiable, cast(count(*) as bigint) as total from ads",
     "q62_ad_status": "select case status when 'O' then 'Active' when 'F' then 'Closed' when 'P' then 'Pending' else status end as label, cast(count(*) as bigint) as n from ads group by 1",
     "q63_top_ads_by_views": "select id, substr(title, 1, 60) as title, cast(actual_view_count as bigint) as n from ads order by actual_view_count desc, id limit 10",
@@ -79,9 +77,7 @@ METRICS: dict[str, str] = {
     "q66_revenue_by_city": "select city as label, n * price as revenue from (select l.id, l.city, l.price, count(a.id) as n from location l join ads a on a.city_id = l.id group by l.id, l.city, l.price order by l.id limit 20) x order by revenue desc, label limit 15",
     "q67_undermonetized": "select l.city as label, l.price, cast(coalesce(c.n, 0) as bigint) as ads from location l left join (select city_id, count(*) as n from ads group by city_id) c on c.city_id = l.id where l.price >= 75 and coalesce(c.n, 0) < 1000 order by l.price desc, label limit 20",
     "q68_premium_by_category": _top("cat_name", "named", 15, "premium_start_date is not null"),
-    "q69_contact_views": "select round(avg(contact_views), 6) as avg_views, {pct}(contact_views, 0.5) as median_views, cast(max(contact_views) as bigint) as most, cast(sum(contact_views) as bigint) as total, cast(count(*) as bigint) as ads from ads where contact_views > 0",
     "q70_photos": "select cast(count(photos) as bigint) as with_photos, cast(count(*) as bigint) as total from ads",
-    "q71_description_length": "select round(avg(length(coalesce(description, ''))), 6) as avg_len, {pct}(length(coalesce(description, '')), 0.5) as median_len, cast(max(length(coalesce(description, ''))) as bigint) as max_len, cast(count(case when coalesce(description, '') = '' then 1 end) as bigint) as empty from ads",
     "q72_keywords": "select cast(count(keywords) as bigint) as with_keywords, cast(count(*) as bigint) as total from ads",
     "q73_attribute_completeness": "select coalesce(a.name, 'Unknown') as label, cast(count(*) as bigint) as n from ads_attributes x left join attributes a on a.id = x.attribute_id group by 1 order by n desc, label limit 15",
     "q74_common_values": "select substr(coalesce(v.value, x.value), 1, 40) as label, cast(count(*) as bigint) as n from ads_attributes x left join attribute_values v on v.id = try_cast(x.value as bigint) group by 1 order by n desc, label limit 20",
@@ -89,12 +85,10 @@ METRICS: dict[str, str] = {
     "q75_marketplace_overview": "select c.cat_name as label, c.n, c.avg_fee, t.city as top_city from (select cat_name, cast(count(*) as bigint) as n, round(avg(case when rental_fee > 0 then rental_fee end), 4) as avg_fee from named group by cat_name) c join (select cat_name, city, row_number() over (partition by cat_name order by count(*) desc, city) as r from named group by cat_name, city) t on t.cat_name = c.cat_name and t.r = 1",
     "q76_geographic_heatmap": "select city as label, state_name as state, cast(count(*) as bigint) as n from named group by city, state_name order by n desc, label limit 20",
     "q77_top_listings": "select sub_name as label, category_id, city, cast(count(*) as bigint) as n from named group by sub_name, category_id, city order by n desc, label, category_id, city limit 30",
-    "q78_pricing_benchmark": "select cat_name as label, round(avg(rental_fee), 4) as avg_fee, round({pct}(rental_fee, 0.5), 4) as median_fee, round(min(rental_fee), 4) as min_fee, round(max(rental_fee), 4) as max_fee from named where rental_fee > 0 and rental_fee < 1000000 group by cat_name",
     "q79_temporal_patterns": "select * from (select {month:created_at} as label, cast(count(*) as bigint) as n from ads group by 1 order by label desc limit 36) x",
     "q80_active_listings": "select * from (select {month:created_at} as label, cast(count(*) as bigint) as n from ads where deleted_at is null group by 1 order by label desc limit 36) x",
     "q81_user_acquisition_by_state": "select s.name as label, cast(count(*) as bigint) as n from users u join states s on s.id = u.state_id where u.created_at >= timestamp '1996-02-01' - interval '365' day group by s.name order by n desc, label limit 15",
     "q82_engagement": "select id, substr(title, 1, 60) as title, cast(actual_view_count + 5 * total_favorite + 3 * total_like as bigint) as score from ads order by score desc, id limit 15",
-    "q84_seller_concentration": "select cast(sum(case when r <= greatest(1, floor(n * 0.01)) then ads end) as bigint) as top1, cast(sum(case when r <= floor(n * 0.1) then ads end) as bigint) as top10, cast(sum(ads) as bigint) as total from (select count(*) as ads, row_number() over (order by count(*) desc, user_id) as r, count(*) over () as n from ads group by user_id) x",
     # generic operators
     "j4_dimension_lookup": "select a.id, coalesce(l.city, 'Unknown (' || cast(a.city_id as {string}) || ')') as city from ads a left join location l on l.id = a.city_id",
     "j12_anti_join": "select u.id from users u where not exists (select 1 from ads a where a.user_id = u.id)",

@@ -6,6 +6,8 @@ name are written as ``{pct}``-style marks and filled in by ``dialect``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
@@ -36,8 +38,14 @@ _DUCK = {"string": "varchar", "pct": "quantile_cont", "month": "strftime({x}, '%
 
 def dialect(sql: str, spark: bool) -> str:
     """A query over canonical tables as one statement with its common table expressions."""
-    body = "with " + ",\n".join(f"{k} as ({v})" for k, v in CTES.items()) + "\n" + sql
-    words = _SPARK if spark else _DUCK
+    return _marked(_with(CTES, sql), _SPARK if spark else _DUCK)
+
+
+def _with(tables: dict[str, str], sql: str) -> str:
+    return "with " + ",\n".join(f"{k} as ({v})" for k, v in tables.items()) + "\n" + sql
+
+
+def _marked(body: str, words: dict[str, str]) -> str:
     for mark in ("string", "pct"):
         body = body.replace("{" + mark + "}", words[mark])
     while "{month:" in body:
@@ -47,8 +55,23 @@ def dialect(sql: str, spark: bool) -> str:
     return body
 
 
+def _named_in(sql: str, tables: dict[str, str]) -> dict[str, str]:
+    """The tables that a query names, and those that these name, in the given order."""
+    found, texts = set(), [sql]
+    while texts:
+        words = set(re.findall(r"\w+", texts.pop()))
+        new = [t for t in tables if t in words and t not in found]
+        found.update(new)
+        texts += [tables[t] for t in new]
+    return {t: v for t, v in tables.items() if t in found}
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The query as a lazy DataFrame: scans are pruned and filters pushed down by the optimiser."""
-    for t in RAW:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(dialect(sql, True))
+    """The query as a lazy DataFrame: scans are pruned and filters pushed down by the optimiser.
+
+    Only the tables that it names are bound, within the statement: the session's views stay as they are.
+    """
+    files = {t: "select * from parquet.`" + f"{sf_dir}/{t}.parquet".replace("`", "``") + "`" for t in RAW}
+    needed = _named_in(sql, CTES)
+    sources = {t: v for t, v in files.items() if t in set(re.findall(r"\w+", " ".join([sql, *needed.values()])))}
+    return spark.sql(_marked(_with(sources | needed, sql) if sources else sql, _SPARK))

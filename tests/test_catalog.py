@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text
 from tesserae.operators import lifecycle, records, search
-from tesserae.plans import catalog, requests, results  # noqa: F401  (the last two add their queries)
+from tesserae.plans import catalog, requests, results, spread  # noqa: F401  (the last three add their queries)
 from tesserae.sources import bindings, readers
 from tesserae.streaming import telemetry
 
