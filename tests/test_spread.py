@@ -25,7 +25,7 @@ def rows():
 def test_percentiles_are_exact(spark, rows, whole, keys, monkeypatch):
     monkeypatch.setattr(ranks, "AROUND", 1e-3)  # the sketch's error is in whole rows, of which these groups have few
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {(r["k"] if keys else 0): [r[n] for n in SHARES] for r in ranks.percentiles(df, keys, "v", SHARES, whole).collect()}
+    got = {(r["k"] if keys else 0): [r[n] for n in SHARES] for r in ranks.percentiles(df, keys, "v", SHARES, whole=whole).collect()}
     by = {}
     for k, v in rows:
         by.setdefault(k if keys else 0, []).append(v)
@@ -41,7 +41,7 @@ def test_percentiles_are_exact(spark, rows, whole, keys, monkeypatch):
 def test_places_of_no_rows(spark):
     none = spark.createDataFrame([], "k string, v double")
     assert ranks.percentiles(none, ["k"], "v", {"m": 0.5}).collect() == []
-    assert [r.m for r in ranks.percentiles(none, [], "v", {"m": 0.5}).collect()] == [None]
+    assert [(r.m, r.c) for r in ranks.percentiles(none, [], "v", {"m": 0.5}, [F.count("*").alias("c")]).collect()] == [(None, 0)]
     cuts = {"one": F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))}
     assert [(r.one, r.total) for r in ranks.top_shares(none.select("k"), "k", cuts, "total").collect()] == [(None, None)]
 
