@@ -8,6 +8,7 @@ Texts below a fixed threshold fail, every text by the same rule.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .textstats import counts, labelled_sample, per_row
+from .common import written
+from .textstats import counts, per_row
 
 BUCKETS = 1 << 16
 N = 4
-#: Trusted texts, at most.
-SAMPLE_ROWS = 20_000
+#: Ids of trusted texts that one pass over the texts sends to every executor; more take more passes.
+MOST_IDS = 4_000_000
 SMOOTHING = 0.5
 #: Of trusted texts, the share that the threshold may fail.
 TRUSTED_LOSS = 0.001
@@ -76,17 +78,27 @@ def _scores(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> np.ndar
     return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(per_row(n, offsets), 1)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _texts_of(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The texts of all known ids.  Texts stay where they lie: ids are sent to them, in blocks of a bounded size."""
+    blocks = max(1, -(-known.count() // MOST_IDS))
+    parts = [texts.join(F.broadcast(known.where(F.pmod(F.xxhash64("labelled"), F.lit(blocks)) == i)), "labelled", "left_semi").select("txt") for i in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, the base counts, ``base_failed``, ``llr``, ``kept``.
 
     Base counts: n_words, word_chars (code points in words), n_symbols (of ``#*$%&|<>``), n_dup_lines
     (lines with a word that equal an earlier line), n_repeat_words (words in five-word windows found
     twice or more).  ``base_failed``: under 10 words, or over 20% repeated words.  ``kept``: not failed
-    and ``llr`` at least the threshold, a low quantile of the trusted texts' own scores.  Null is an
+    and ``llr`` at least the threshold, a low quantile of the trusted texts' own scores.  Trusted are all
+    texts whose id has a label of 1; null ids and labels are ignored, of an id's labels the largest counts.  Null is an
     empty text, with counts and llr 0.  Without trusted texts the ratio is 0 and only the base rules
     decide.  Rows that repeat an id are judged each alone; other columns are ignored.
     """
-    trusted = labelled_sample(docs, labels, label_col, id_col, text_col, sample_rows).where("label = 1")
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    known = written(known.where("label = 1").select("labelled"), "quality-trusted")
+    trusted = _texts_of(docs.select(F.col(id_col).alias("labelled"), F.col(text_col).alias("txt")), known)
     target = multinomial(trusted, "txt")
     ratio = log_ratio(target, multinomial(docs, text_col)) if target.any() else np.zeros(BUCKETS)
 
@@ -95,8 +107,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for _, _, data, offsets in K.blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(_scores(data, offsets, ratio))], names=["llr"])
 
-    own = np.sort(trusted.select("txt").mapInArrow(scored, "llr double").toArrow().column("llr").to_numpy()) if target.any() else np.zeros(1)
-    threshold = float(own[int(len(own) * TRUSTED_LOSS)]) - 0.1 * float(own.std())
+    threshold = 0.0
+    if target.any():
+        own = written(trusted.mapInArrow(scored, "llr double"), "quality-own")
+        n, spread = own.agg(F.count("*"), F.stddev_pop("llr")).first()
+        low = own.orderBy("llr").limit(int(n * TRUSTED_LOSS) + 1).agg(F.max("llr")).first()[0]
+        threshold = round(low - 0.1 * spread, 12)  # sums of tasks that come in another order give the same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
