@@ -14,6 +14,11 @@ def case_measures(ranked: DataFrame, relevant: DataFrame, forbidden: DataFrame,
     """``qid, first, hit_10, found, forbidden_10`` of each case: the first relevant rank, whether one is among
     ten, how many of all hits are relevant, and how many of the first ten are forbidden."""
     hits = ranked.join(relevant.select("qid", "id", F.lit(True).alias("good")), ["qid", "id"], "left").join(forbidden.select("qid", "id", F.lit(True).alias("bad")), ["qid", "id"], "left")
+    return measures_of(hits, cases)
+
+
+def measures_of(hits: DataFrame, cases: DataFrame) -> DataFrame:
+    """``case_measures`` of hits that are judged: ``qid, rank, good, bad``."""
     each = hits.groupBy("qid").agg(F.min(F.when(F.col("good"), F.col("rank"))).alias("first"), F.count_if(F.col("good")).alias("found"), F.count_if(F.col("bad") & (F.col("rank") <= 10)).alias("forbidden_10"), F.count("*").alias("returned"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return cases.select("qid").join(each, "qid", "left").select("qid", "first", F.coalesce(F.col("first") <= 10, F.lit(False)).alias("hit_10"), zero("found"), zero("forbidden_10"), zero("returned"))

@@ -199,7 +199,7 @@ def test_columns_come_along(spark):
     assert _ranked([(q, i, c) for q, a, _ in asked for i, v, _ in items if (c := _cosine(v, a)) is not None], 5) == _got(found)
 
 
-@pytest.mark.parametrize("name", ["e1_measures", "e1_measures_whole"])
+@pytest.mark.parametrize("name", ["e1_measures", "e1_measures_whole", "e3_case_measures"])
 def test_hits_are_judged_where_they_lie(spark, name):
     """Labels come with the hits: one search, and no join of the hits with the items."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
@@ -213,7 +213,7 @@ def _evaluated(spark, rows, folder, name):
     return {r.qid: r for r in catalog.QUERIES[name](spark, str(folder)).collect()}
 
 
-@pytest.mark.parametrize("name", ["e1_measures"])
+@pytest.mark.parametrize("name", ["e1_measures", "e3_case_measures"])
 def test_judged_alike_with_repeated_ids(spark, tmp_path, name):
     """Without repeated ids hits are judged by their own label, with them by all labels of their id: same figures where both hold."""
     rng = random.Random(7)
