@@ -199,7 +199,7 @@ def test_columns_come_along(spark):
     assert _ranked([(q, i, c) for q, a, _ in asked for i, v, _ in items if (c := _cosine(v, a)) is not None], 5) == _got(found)
 
 
-@pytest.mark.parametrize("name", ["e1_measures", "e1_measures_whole", "e3_case_measures"])
+@pytest.mark.parametrize("name", ["e1_measures", "e1_measures_whole", "e3_case_measures", "e4_case_gates"])
 def test_hits_are_judged_where_they_lie(spark, name):
     """Labels come with the hits: one search, and no join of the hits with the items."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
